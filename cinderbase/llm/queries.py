@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderbase.llm import truncation
+from cinderbase.llm import leaks, truncation
 from cinderbase.session import table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), reparameterised=False)
+    return leaks.leaked(found).select("item_id", "doc_id").distinct()
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item: in how many documents it leaked, verbatim or with other values."""
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    kept = leaks.leaked(found).unionByName(found.where("kind = 'reparameterised'"))
+    return kept.groupBy("item_id", "kind").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("window_share").alias("max_share"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.detect(table(spark, sf_dir, "documents")).where("cut").select(F.col("row_key").alias("doc_id"))
 
@@ -18,7 +30,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict:

@@ -93,7 +93,8 @@ def hard_spikes(rows: DataFrame) -> DataFrame:
     found = hist.where((F.col("c") >= MIN_AT_SPIKE) & (F.col("c") >= HARD_TIMES * F.col("below")) & (F.col("n_open") >= OPEN_SHARE * F.col("c")))
     # a limit counts in one unit; its echo in the other is spread over several lengths
     best = F.max("c").over(Window.partitionBy("row_source"))
-    return found.where(F.max("c").over(Window.partitionBy("row_source", "unit")) == best).select("row_source", "unit", "n", "c")
+    own = F.max("c").over(Window.partitionBy("row_source", "unit"))
+    return found.withColumn("best", best).withColumn("own", own).where("own = best").select("row_source", "unit", "n", "c")
 
 
 def soft_spikes(rows: DataFrame) -> DataFrame:
