@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderbase.llm import leaks, truncation
+from cinderbase.llm import leaks, neighbours, spectral, truncation
 from cinderbase.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.cluster(table(spark, sf_dir, "memories")).select("ingest_seq", "group_seq")
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memories = table(spark, sf_dir, "memories")
+    return spectral.describe(spectral.cluster(memories), memories)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "memories").select(F.col("ingest_seq").alias("id"), F.col("embedding").alias("vec"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.knn(_vectors(spark, sf_dir), k=5, min_sim=0.85)
+    return near.select(F.least("id", "neighbour").alias("seq_a"), F.greatest("id", "neighbour").alias("seq_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar other memories of every memory from cosine 0.5, with their similarity."""
+    near = neighbours.knn(_vectors(spark, sf_dir), k=5, min_sim=0.5, probes=12)
+    return near.select(F.col("id").alias("ingest_seq"), F.col("neighbour").alias("neighbour_seq"), F.col("sim").alias("cosine"), "rank")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), reparameterised=False)
     return leaks.leaked(found).select("item_id", "doc_id").distinct()
@@ -30,7 +54,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict:
