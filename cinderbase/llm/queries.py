@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderbase.llm import leaks, neighbours, spectral, truncation
+from cinderbase.llm import leaks, mixing, neighbours, privacy, spectral, truncation
 from cinderbase.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.mentions(table(spark, sf_dir, "memories"), table(spark, sf_dir, "name_lexicon"))
+    return privacy.kinds_found(found).select(F.col("row_key").alias("ingest_seq"), "kind")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = privacy.redact(table(spark, sf_dir, "memories"), table(spark, sf_dir, "name_lexicon"), secret="a key kept outside the data")
+    return out.select(F.col("row_key").alias("ingest_seq"), F.col("redacted").alias("content"), "n_mentions")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.cluster(table(spark, sf_dir, "memories")).select("ingest_seq", "group_seq")
 
@@ -45,6 +55,17 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("item_id", "kind").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("window_share").alias("max_share"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection: how often each document is used."""
+    plan = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return plan.selection
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source, its tokens and the most uses of one text."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.detect(table(spark, sf_dir, "documents")).where("cut").select(F.col("row_key").alias("doc_id"))
 
@@ -54,7 +75,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_found": p6_found, "p6_items": p6_items, "p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict:
