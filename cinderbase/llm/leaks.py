@@ -183,13 +183,20 @@ def _common(a: list[str], b: list[str]) -> list[int]:
     return out[::-1]
 
 
-def held_share(sentences: list[list[str]], doc: list[str], is_slot) -> float:
-    """The share of an item's words that the document holds, by sentences that agree in words and slots."""
+def held_share(sentences: list[list[str]], doc: list[str], code) -> float:
+    """The share of an item's words that the document holds, by sentences that agree in words and slots.
+
+    ``code`` gives a word's template code. A place in the document where fewer than three tenths of a
+    sentence's names and numbers stand cannot agree in slots and is not aligned.
+    """
     where: dict[tuple[str, str], list[int]] = {}
     for k in range(len(doc) - 1):
         where.setdefault((doc[k], doc[k + 1]), []).append(k)
     total, held = sum(map(len, sentences)), 0
     for s in sentences:
+        codes = [code(w) for w in s]
+        slots = [k for k, c in enumerate(codes) if c <= UNIT]
+        strong = {w for w, c in zip(s, codes) if c in (NUMBER, NAME)}
         votes: Counter = Counter()
         for k in range(len(s) - 1):
             for p in where.get((s[k], s[k + 1]), ()):
@@ -197,8 +204,10 @@ def held_share(sentences: list[list[str]], doc: list[str], is_slot) -> float:
         best = 0
         for diagonal, n in votes.most_common(6):
             low = max(0, diagonal * 3 - 3)
-            found = _common(s, doc[low : diagonal * 3 + len(s) + 6])
-            slots = [k for k, w in enumerate(s) if is_slot(w)]
+            near = doc[low : diagonal * 3 + len(s) + 6]
+            if strong and len(strong.intersection(near)) < max(1, 0.3 * len(strong)):
+                continue
+            found = _common(s, near)
             right = sum(k in set(found) for k in slots)
             # a sentence of the same template with other values is a stock phrase; so is one of few slots with a chance value
             partial = len(found) >= 6 and max(found) - min(found) + 1 <= len(found) * 1.3
@@ -243,7 +252,7 @@ def _scan(index: ItemIndex, batches: Iterator[pd.DataFrame], reparameterised: bo
             share = n / index.lengths[pairs % len(index.ids)]
             for p, s in zip(pairs[share >= CANDIDATE_SHARE], share[share >= CANDIDATE_SHARE]):
                 d, i = divmod(int(p), len(index.ids))
-                held = held_share(index.sentences[i], docs[d], lambda w: index.memo[w] & 0xFFFFFF <= UNIT)
+                held = held_share(index.sentences[i], docs[d], lambda w: index.memo[w] & 0xFFFFFF)
                 out.append((index.ids[i], pdf["doc_id"].iloc[d], "verbatim", float(s), held))
         if reparameterised:
             out.extend((i, pdf["doc_id"].iloc[d], "reparameterised", s, 0.0) for d, i, s in _remapped(index, canon, value, starts_))
