@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderbase.session import ship
+
 # Zone abbreviations with their offsets in minutes.
 ABBREVIATIONS = {
     "Z": 0, "UT": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120,
@@ -274,6 +276,7 @@ SOLVED = "ingest_seq long, field_name string, client string, notation string, ut
 
 def normalise(memories: DataFrame, clients: DataFrame, fields: tuple[str, ...] = ("valid_from", "valid_until"), block_rows: int = 50_000) -> DataFrame:
     """One row per non-null value: ``ingest_seq, field_name, client, notation, utc_micros, ambiguous``."""
+    ship(memories.sparkSession)
     # one row per client; the reference table may repeat one
     c = clients.groupBy(F.col("client").alias("_client")).agg(F.min("zone_id").alias("zone_id"), F.min("day_first").alias("day_first"), F.lit(True).alias("known"))
     values = memories.select(
