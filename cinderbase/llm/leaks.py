@@ -30,6 +30,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cinderbase.session import ship
+
 WINDOW, LONG_WINDOW = 6, 12
 CANDIDATE_SHARE, HELD_SHARE, SENTENCE_SHARE = 0.10, 0.33, 0.6
 REPARAMETERISED_SLOTS, REPARAMETERISED_SHARE = 6, 0.6
@@ -287,6 +289,7 @@ SCHEMA = "item_id long, doc_id long, kind string, window_share double, held_shar
 def find_leaks(documents: DataFrame, items: DataFrame, reparameterised: bool = True) -> DataFrame:
     """``item_id, doc_id, kind, window_share, held_share`` of all candidate pairs."""
     spark = documents.sparkSession
+    ship(spark)
     rows = [(r[0], r[1]) for r in items.select("item_id", "item_text").orderBy("item_id").toLocalIterator() if r[1]]
     docs = documents.select("doc_id", "text").where("text IS NOT NULL")
     blocks: list[list] = [[]]

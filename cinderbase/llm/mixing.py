@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderbase.session import cut
+from cinderbase.session import cut, ship
 
 BLOCKS, KEY = 1024, 20_240_501
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -54,6 +54,8 @@ def _encoder(path: str):
 def token_counts(df: DataFrame, column: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, n_tokens`` of whole texts."""
 
+    ship(df.sparkSession)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(tokenizer).encode_ordinary
         for pdf in batches:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderbase.session import cut
+from cinderbase.session import cut, ship
 
 DIMS, SAMPLE_ROWS, MAX_CELLS, SEED = 64, 20_000, 1024, 7
 BASE_BLOCK, QUERY_BLOCK, CHUNK = 2048, 4096, 256
@@ -178,6 +178,7 @@ def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 6, whole_de
     ``whole_degree``; ``top`` has the k nearest as (sim, id). Vectors without a neighbour have nulls.
     """
     spark = vectors.sparkSession
+    ship(spark)
     vectors = vectors.select("part", "rep", "weight", "vec")
     trained = spark.sparkContext.broadcast(train(vectors, vectors.count()))
     encoded = cut(vectors.mapInPandas(lambda b: _encode(*trained.value, probes, b), ENCODED))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderbase.session import cut, small_enough
+from cinderbase.session import cut, ship, small_enough
 
 LEXICON_BYTES = 64
 ROUNDS = 8
@@ -337,6 +337,7 @@ def lexicon_of(names: DataFrame) -> Lexicon:
 
 def mentions(texts: DataFrame, names: DataFrame, key: str = "ingest_seq", column: str = "content") -> DataFrame:
     """``row_key, text, mentions`` of every row."""
+    ship(texts.sparkSession)
     sent = texts.sparkSession.sparkContext.broadcast(lexicon_of(names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
