@@ -6,7 +6,8 @@ Index
     packed into one 64-bit number, the residual's length and the inner product of the residual with
     its own code (the correction scalar).
 Search
-    Every vector is a query and probes the ``probes`` cells next to it. The inner product with each
+    Every vector is a query. It probes the cells that are hardly farther than its own (``REACH``), at
+    most ``probes``. The inner product with each
     vector of a cell is estimated from the packed bits (the query's rotated residual is quantised to
     four bits, so the estimate is four AND-popcounts) and the correction scalar; the error bound of
     the estimate decides which vectors are reranked with their exact cosine in double precision.
@@ -36,6 +37,8 @@ DIMS, SAMPLE_ROWS, MAX_CELLS, SEED = 64, 20_000, 1024, 7
 BASE_BLOCK, QUERY_BLOCK, CHUNK = 2048, 4096, 256
 #: Width of the error bound of an estimate; at 3 a true neighbour is missed once in some thousand.
 EPSILON = 3.0
+#: A query probes the cells that are farther than its own by at most this part of the distance at ``min_sim``.
+REACH = 0.2
 
 
 def usable(vec: Column, dims: int = DIMS) -> Column:
@@ -88,7 +91,7 @@ def _unit(blobs) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _encode(centroids: np.ndarray, rotation: np.ndarray, probes: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encode(centroids: np.ndarray, rotation: np.ndarray, probes: int, reach: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     half = 0.5 * (centroids**2).sum(1)
     for pdf in batches:
         if pdf.empty:
@@ -96,7 +99,10 @@ def _encode(centroids: np.ndarray, rotation: np.ndarray, probes: int, batches: I
         raw = np.stack([np.asarray(v, np.float32) for v in pdf["vec"]])
         x = raw.astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        near = np.argsort(-(x @ centroids.T - half), axis=1, kind="stable")[:, :probes]
+        toward = x @ centroids.T - half
+        near = np.argsort(-toward, axis=1, kind="stable")[:, :probes]
+        far = np.sqrt(np.maximum(0, 1 - 2 * np.take_along_axis(toward, near, 1)))
+        asked = far <= far[:, :1] + reach
         residual = x - centroids[near[:, 0]]
         length = np.linalg.norm(residual, axis=1)
         turned = (residual / np.maximum(length, 1e-12)[:, None]) @ rotation
@@ -104,7 +110,7 @@ def _encode(centroids: np.ndarray, rotation: np.ndarray, probes: int, batches: I
         code = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel().view(np.int64)
         align = np.abs(turned).sum(axis=1) / np.sqrt(DIMS)
         yield pd.DataFrame({
-            "part": pdf["part"], "rep": pdf["rep"], "weight": pdf["weight"], "cell": near[:, 0].astype(np.int32), "probes": near.astype(np.int32).tolist(),
+            "part": pdf["part"], "rep": pdf["rep"], "weight": pdf["weight"], "cell": near[:, 0].astype(np.int32), "probes": [row[ok] for row, ok in zip(near.astype(np.int32), asked)],
             "code": code, "length": length, "align": align, "blob": [r.tobytes() for r in raw],
         })
 
@@ -171,7 +177,7 @@ def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float,
     return out
 
 
-def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 6, whole_degree: bool = False) -> DataFrame:
+def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 16, whole_degree: bool = False) -> DataFrame:
     """For each distinct vector: ``part, rep, weight, degree, affinity, least, top`` of its neighbours with cosine from ``min_sim``.
 
     ``degree`` and ``affinity`` (the sum of cosines) count rows and cover all neighbours only with
@@ -180,8 +186,9 @@ def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 6, whole_de
     spark = vectors.sparkSession
     ship(spark)
     vectors = vectors.select("part", "rep", "weight", "vec")
+    reach = REACH * float(np.sqrt(2 - 2 * min_sim))
     trained = spark.sparkContext.broadcast(train(vectors, vectors.count()))
-    encoded = cut(vectors.mapInPandas(lambda b: _encode(*trained.value, probes, b), ENCODED))
+    encoded = cut(vectors.mapInPandas(lambda b: _encode(*trained.value, probes, reach, b), ENCODED))
     base_n = encoded.groupBy("part", "cell").agg(F.count("*").alias("n"))
     asked = encoded.withColumn("asks", F.explode("probes")).withColumnRenamed("cell", "own")
     asked_n = asked.groupBy("part", F.col("asks").alias("cell")).agg(F.count("*").alias("m"))
@@ -211,7 +218,7 @@ def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 6, whole_de
     return encoded.select("part", "rep", "weight").join(merged, ["part", "rep"], "left")
 
 
-def knn(rows: DataFrame, k: int = 5, min_sim: float = -1.0, probes: int = 6) -> DataFrame:
+def knn(rows: DataFrame, k: int = 5, min_sim: float = -1.0, probes: int = 16) -> DataFrame:
     """For each row of ``id, vec`` its k most similar other rows: ``id, neighbour, sim, rank``."""
     rows = rows.select(F.lit("").alias("part"), "id", "vec").where("id IS NOT NULL").where(usable(F.col("vec")))
     vectors, _ = collapse(rows, k + 1)

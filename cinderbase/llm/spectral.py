@@ -111,7 +111,7 @@ def _split(min_size: int):
 
 def exact_rest(rest: DataFrame, min_sim: float, min_size: int) -> DataFrame:
     """Maximal groups among the vectors that failed the check, from all their edges."""
-    found = neighbours.search(rest, k=1 << 30, min_sim=min_sim, probes=12, whole_degree=True)
+    found = neighbours.search(rest, k=1 << 30, min_sim=min_sim, probes=48, whole_degree=True)
     found = cut(found.where("top IS NOT NULL").select("part", "rep", "weight", F.transform("top", lambda t: t["id"]).alias("js")))
     edges = found.select("part", "rep", F.explode("js").alias("j"))
     labels = found.select("part", "rep", F.col("rep").alias("label"))
@@ -125,7 +125,7 @@ def exact_rest(rest: DataFrame, min_sim: float, min_size: int) -> DataFrame:
     return found.join(labels, ["part", "rep"]).groupBy("part", "label").applyInPandas(_split(min_size), "part string, rep long, group_seq long")
 
 
-def cluster(memories: DataFrame, min_sim: float = 0.80, min_size: int = 3, below: float = 0.20, probes: int = 8) -> DataFrame:
+def cluster(memories: DataFrame, min_sim: float = 0.80, min_size: int = 3, below: float = 0.20, probes: int = 16) -> DataFrame:
     """One row per member: ``category, group_seq, ingest_seq, affinity, group_size``."""
     rows = fading(memories, below)
     vectors, _ = neighbours.collapse(rows, 1)
