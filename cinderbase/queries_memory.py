@@ -736,7 +736,8 @@ def reinforce(s, d):
     return rows.select("ingest_seq", R6(F.least(F.lit(1.0), F.col("stability") + F.col("times") * 0.05)).alias("stability"))
 
 
-_VERDICT = F.when(F.length("new_content") > F.length("old_content"), "CONTRADICTION").when(F.length("new_content") < F.length("old_content"), "UPDATE").otherwise("NONE")
+def _verdict():
+    return F.when(F.length("new_content") > F.length("old_content"), "CONTRADICTION").when(F.length("new_content") < F.length("old_content"), "UPDATE").otherwise("NONE")
 
 
 @q("conflict_resolve", f"""{_QUEUE}, f AS (SELECT * FROM queue ORDER BY sim DESC, new_id, existing_id LIMIT 50)
@@ -744,13 +745,13 @@ _VERDICT = F.when(F.length("new_content") > F.length("old_content"), "CONTRADICT
   FROM f JOIN store n ON n.ingest_seq = new_id JOIN store o ON o.ingest_seq = existing_id WHERE NOT n.is_superseded AND NOT o.is_superseded""")
 def conflict_resolve(s, d):
     queue = maintain.tag_conflicts(_knn(s, d), _roots(s, d))[0]
-    return maintain.judged(queue, m(s, d), _VERDICT).select("new_id", "existing_id", "sim", "verdict")
+    return maintain.judged(queue, m(s, d), _verdict()).select("new_id", "existing_id", "sim", "verdict")
 
 
 @q("conflict_effects")
 def conflict_effects(s, d):
     queue = maintain.tag_conflicts(_knn(s, d), _roots(s, d))[0]
-    return maintain.resolve_conflicts(queue, m(s, d), _VERDICT)
+    return maintain.resolve_conflicts(queue, m(s, d), _verdict())
 
 
 @q("consolidation_pairs", f"""{WITH}, f AS (SELECT category, ingest_seq, vec FROM store WHERE vec IS NOT NULL AND {HOT} AND NOT is_superseded AND category <> 'core' AND {ret_sql(LATE)} < 2e-1),
