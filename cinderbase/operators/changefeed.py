@@ -23,8 +23,10 @@ result, in which case the result's own wins.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cinderbase.session import scratch
 
@@ -84,15 +86,28 @@ def _write(folded: DataFrame, path: str, buckets: int) -> None:
     )
 
 
-def merge_runs(spark: SparkSession, path: str, keep_tombstones: bool = False) -> DataFrame:
+RUN_SCHEMA = "entity_kind string, key_a string, key_b string, seq struct<at_ms:bigint,writer_seq:bigint,event_no:bigint>, tombstone boolean, row struct<x:int>, bucket int, run int"
+
+
+def _runs(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """All runs under the path; an empty run leaves no file, so its schema must be known."""
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], RUN_SCHEMA)
+
+
+def merge_runs(spark: SparkSession, path: str, keep_tombstones: bool = False, schema: StructType | str | None = None) -> DataFrame:
     """The state after all runs under the path."""
-    state = fold(spark.read.parquet(path))
+    state = fold(_runs(spark, path, schema))
     return state if keep_tombstones else state.where(~F.col("tombstone"))
 
 
-def compact(spark: SparkSession, path: str, target: str, buckets: int = 16, full: bool = True) -> None:
+def compact(spark: SparkSession, path: str, target: str, buckets: int = 16, full: bool = True, schema: StructType | str | None = None) -> None:
     """Replace the runs under the path by one run under the target; a full compaction drops tombstones."""
-    _write(merge_runs(spark, path, keep_tombstones=not full).withColumn("run", F.lit(0)), target, buckets)
+    _write(merge_runs(spark, path, keep_tombstones=not full, schema=schema).withColumn("run", F.lit(0)), target, buckets)
 
 
 def apply_feed(feed: DataFrame, payload: tuple[str, ...] = (), run_rows: int = 4_000_000, compact_after: int = 8) -> DataFrame:
@@ -107,10 +122,11 @@ def apply_feed(feed: DataFrame, payload: tuple[str, ...] = (), run_rows: int = 4
     changes = canonical_changes(feed.withColumn("event_run", run), (*payload, "event_run"))
     changes = changes.withColumn("run", F.col("row.event_run"))
     append_runs(changes, F.col("run"), path)
-    runs = spark.read.parquet(path).select("run").distinct().count()
+    schema = fold(changes, "run").withColumn("bucket", F.lit(0)).schema
+    runs = _runs(spark, path, schema).select("run").distinct().count()
     if runs > compact_after:
         target = scratch(spark, "compacted")
-        compact(spark, path, target)
+        compact(spark, path, target, schema=schema)
         path = target
-    state = merge_runs(spark, path)
+    state = merge_runs(spark, path, schema=schema)
     return state.select(*STATE_KEY, *[f"seq.{c}" for c in SEQUENCE], *[F.col(f"row.{c}").alias(c) for c in payload if c not in (*STATE_KEY, *SEQUENCE)])
