@@ -34,6 +34,7 @@ from cinderbase.session import ship
 
 WINDOW, LONG_WINDOW = 6, 12
 CANDIDATE_SHARE, HELD_SHARE, SENTENCE_SHARE = 0.10, 0.33, 0.6
+LEAKED = f"kind = 'verbatim' AND greatest(held_share, window_share) >= {HELD_SHARE}"
 REPARAMETERISED_SLOTS, REPARAMETERISED_SHARE = 6, 0.6
 BLOCK_TOKENS = 2_000_000
 #: A token that begins in capitals in at least so many items is no name but a sentence's first word.
@@ -318,4 +319,4 @@ def leaked(found: DataFrame) -> DataFrame:
     An item counts from two fifths of its words; the threshold is lower by what changed words and
     spelling cost on average.
     """
-    return found.where(f"kind = 'verbatim' AND greatest(held_share, window_share) >= {HELD_SHARE}")
+    return found.where(LEAKED)
