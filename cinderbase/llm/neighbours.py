@@ -86,6 +86,11 @@ def train(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return centroids, rotation
 
 
+def _mark(ids: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of ids; its sum over a set identifies the set in any order."""
+    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
+
+
 def _unit(blobs) -> np.ndarray:
     x = np.stack([np.frombuffer(b, np.float32) for b in blobs]).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -111,20 +116,21 @@ def _encode(centroids: np.ndarray, rotation: np.ndarray, probes: int, reach: flo
         align = np.abs(turned).sum(axis=1) / np.sqrt(DIMS)
         yield pd.DataFrame({
             "part": pdf["part"], "rep": pdf["rep"], "weight": pdf["weight"], "cell": near[:, 0].astype(np.int32), "probes": [row[ok] for row, ok in zip(near.astype(np.int32), asked)],
-            "code": code, "length": length, "align": align, "blob": [r.tobytes() for r in raw],
+            "own_mark": _mark(pdf["rep"].to_numpy()), "code": code, "length": length, "align": align, "blob": [r.tobytes() for r in raw],
         })
 
 
-ENCODED = "part string, rep long, weight long, cell int, probes array<int>, code long, length double, align double, blob binary"
-FOUND = "part string, rep long, degree long, affinity double, least long, ids array<long>, sims array<double>"
+ENCODED = "part string, rep long, weight long, cell int, probes array<int>, own_mark long, code long, length double, align double, blob binary"
+FOUND = "part string, rep long, degree long, affinity double, least long, mark long, ids array<long>, sims array<double>"
 
 
-def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float, whole_degree: bool, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float, whole_degree: bool, exact_only: bool, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     if base.empty or queries.empty:
-        return pd.DataFrame({c: [] for c in ("part", "rep", "degree", "affinity", "least", "ids", "sims")})
+        return pd.DataFrame({c: [] for c in ("part", "rep", "degree", "affinity", "least", "mark", "ids", "sims")})
     centre = centroids[int(base["cell"].iloc[0])]
     x, q = _unit(base["blob"]), _unit(queries["q_blob"])
     ids, weight = base["rep"].to_numpy(np.int64), base["weight"].to_numpy(np.int64)
+    marks = base["own_mark"].to_numpy(np.int64)
     code = base["code"].to_numpy(np.int64).view(np.uint64)
     length, align = base["length"].to_numpy(), np.maximum(base["align"].to_numpy(), 1e-6)
     ones = np.bitwise_count(code).astype(np.float64)
@@ -150,7 +156,7 @@ def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float,
         shift = (part @ centre)[:, None] + x_centre[None, :] - cc
         estimate = scale * dot / align[None, :] + shift
         error = scale * (spread[None, :] + step[:, None] / align[None, :]) + 1e-9
-        wanted = estimate + error >= min_sim
+        wanted = (estimate + error >= min_sim) | exact_only
         if not whole_degree and len(code) > k + 1:
             # the (k+1)-th largest lower bound: nothing whose upper bound is below it can be among the k
             floor = np.partition(estimate - error, -(k + 1), axis=1)[:, -(k + 1)]
@@ -171,24 +177,27 @@ def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float,
         for a, s, c in zip(at, start, n):
             mine = bi[s : s + c]
             sims = exact[s : s + c]
-            rows.append((int(qid[lo + a]), int(weight[mine].sum()), float((weight[mine] * sims).sum()), int(ids[mine].min()), ids[mine[:k]].tolist(), sims[:k].tolist()))
-    out = pd.DataFrame(rows, columns=["rep", "degree", "affinity", "least", "ids", "sims"])
+            rows.append((int(qid[lo + a]), int(weight[mine].sum()), float((weight[mine] * sims).sum()), int(ids[mine].min()), int(marks[mine].sum()), ids[mine[:k]].tolist(), sims[:k].tolist()))
+    out = pd.DataFrame(rows, columns=["rep", "degree", "affinity", "least", "mark", "ids", "sims"])
     out.insert(0, "part", base["part"].iloc[0])
     return out
 
 
-def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 16, whole_degree: bool = False) -> DataFrame:
-    """For each distinct vector: ``part, rep, weight, degree, affinity, least, top`` of its neighbours with cosine from ``min_sim``.
+def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 16, whole_degree: bool = False, reach: float = REACH, exact: bool = False) -> DataFrame:
+    """For each distinct vector: ``part, rep, weight, own_mark, degree, affinity, least, mark, top`` of its neighbours with cosine from ``min_sim``.
 
-    ``degree`` and ``affinity`` (the sum of cosines) count rows and cover all neighbours only with
+    ``degree``, ``affinity`` (the sum of cosines) and ``mark`` (a hash of the set) cover all neighbours only with
     ``whole_degree``; ``top`` has the k nearest as (sim, id). Vectors without a neighbour have nulls.
+    With ``exact`` every query probes every cell and every vector is ranked by its exact cosine.
     """
     spark = vectors.sparkSession
     ship(spark)
     vectors = vectors.select("part", "rep", "weight", "vec")
-    reach = REACH * float(np.sqrt(2 - 2 * min_sim))
+    if exact:
+        probes, reach = MAX_CELLS, float("inf")
+    width = reach * float(np.sqrt(2 - 2 * min_sim))
     trained = spark.sparkContext.broadcast(train(vectors, vectors.count()))
-    encoded = cut(vectors.mapInPandas(lambda b: _encode(*trained.value, probes, reach, b), ENCODED))
+    encoded = cut(vectors.mapInPandas(lambda b: _encode(*trained.value, probes, width, b), ENCODED))
     base_n = encoded.groupBy("part", "cell").agg(F.count("*").alias("n"))
     asked = encoded.withColumn("asks", F.explode("probes")).withColumnRenamed("cell", "own")
     asked_n = asked.groupBy("part", F.col("asks").alias("cell")).agg(F.count("*").alias("m"))
@@ -199,23 +208,24 @@ def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 16, whole_d
     on = lambda cell: (F.col("part") == F.col("s_part")) & (F.col(cell) == F.col("s_cell"))
     base = encoded.join(sizes, on("cell")).withColumn("bb", F.pmod(mix, F.col("nb"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     queries = asked.join(sizes, on("asks")).withColumn("qb", F.pmod(mix, F.col("nq"))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    base = base.select("part", "cell", "bb", "qb", "rep", "weight", "code", "length", "align", "blob")
+    base = base.select("part", "cell", "bb", "qb", "rep", "weight", "own_mark", "code", "length", "align", "blob")
     queries = queries.select(*[F.col(c).alias(f"q_{n}") for c, n in (("part", "part"), ("asks", "cell"), ("bb", "bb"), ("qb", "qb"), ("rep", "rep"), ("blob", "blob"))])
     key = ["part", "cell", "bb", "qb"]
 
     def pair(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return _search(*trained.value, k, min_sim, whole_degree, b, q)
+        return _search(*trained.value, k, min_sim, whole_degree, exact, b, q)
 
     found = base.groupBy(*key).cogroup(queries.groupBy(*[f"q_{c}" for c in key])).applyInPandas(pair, FOUND)
     merged = found.groupBy("part", "rep").agg(
         F.sum("degree").alias("degree"),
         F.sum("affinity").alias("affinity"),
         F.min("least").alias("least"),
+        F.sum("mark").alias("mark"),
         F.flatten(F.collect_list(F.arrays_zip("sims", "ids"))).alias("all"),
     )
     top = F.slice(F.array_sort(F.transform("all", lambda p: F.struct((-p["sims"]).alias("minus"), p["ids"].alias("id")))), 1, k)
-    merged = merged.select("part", "rep", "degree", "affinity", "least", F.transform(top, lambda p: F.struct((-p["minus"]).alias("sim"), p["id"].alias("id"))).alias("top"))
-    return encoded.select("part", "rep", "weight").join(merged, ["part", "rep"], "left")
+    merged = merged.select("part", "rep", "degree", "affinity", "least", "mark", F.transform(top, lambda p: F.struct((-p["minus"]).alias("sim"), p["id"].alias("id"))).alias("top"))
+    return encoded.select("part", "rep", "weight", "own_mark").join(merged, ["part", "rep"], "left")
 
 
 def knn(rows: DataFrame, k: int = 5, min_sim: float = -1.0, probes: int = 16) -> DataFrame:

@@ -8,8 +8,8 @@
    multiplied ``ITERATIONS`` times with the row-normalised affinities.
 3. k-means on the embedding: seeds are the occupied cells of a fine grid, points go to the nearest
    centre of their own and adjacent grid cells, centres are means.
-4. Exact check: members of a cluster that share their smallest id form a group if each of them has
-   all others as neighbours. What fails the check (overlapping or chained groups) is split exactly:
+4. Exact check: members of a cluster that share their smallest id form a group if the neighbours of
+   each are exactly the others. What fails the check (overlapping or chained groups) is split exactly:
    its edges are emitted, its components found by label propagation and the maximal sets listed.
 
 Members are ranked by their internal affinity, the sum of their cosines to the others.
@@ -111,7 +111,7 @@ def _split(min_size: int):
 
 def exact_rest(rest: DataFrame, min_sim: float, min_size: int) -> DataFrame:
     """Maximal groups among the vectors that failed the check, from all their edges."""
-    found = neighbours.search(rest, k=1 << 30, min_sim=min_sim, probes=48, whole_degree=True)
+    found = neighbours.search(rest, k=1 << 30, min_sim=min_sim, whole_degree=True, exact=True)
     found = cut(found.where("top IS NOT NULL").select("part", "rep", "weight", F.transform("top", lambda t: t["id"]).alias("js")))
     edges = found.select("part", "rep", F.explode("js").alias("j"))
     labels = found.select("part", "rep", F.col("rep").alias("label"))
@@ -125,22 +125,23 @@ def exact_rest(rest: DataFrame, min_sim: float, min_size: int) -> DataFrame:
     return found.join(labels, ["part", "rep"]).groupBy("part", "label").applyInPandas(_split(min_size), "part string, rep long, group_seq long")
 
 
-def cluster(memories: DataFrame, min_sim: float = 0.80, min_size: int = 3, below: float = 0.20, probes: int = 16) -> DataFrame:
+def cluster(memories: DataFrame, min_sim: float = 0.80, min_size: int = 3, below: float = 0.20, probes: int = 16, reach: float = neighbours.REACH) -> DataFrame:
     """One row per member: ``category, group_seq, ingest_seq, affinity, group_size``."""
     rows = fading(memories, below)
     vectors, _ = neighbours.collapse(rows, 1)
     vectors = cut(vectors)
-    found = cut(neighbours.search(vectors, TOP, min_sim, probes, whole_degree=True))
+    found = cut(neighbours.search(vectors, TOP, min_sim, probes, whole_degree=True, reach=reach))
     # a vector without neighbours is in a group only as a set of copies; the iteration skips it
     linked = found.where("least IS NOT NULL")
     placed = kmeans(embed(linked, affinities(linked)))
     label = F.least("rep", F.coalesce("least", "rep"))
     checked = linked.join(placed, ["part", "rep"]).withColumn("label", label)
     checked = checked.unionByName(found.where("least IS NULL").withColumn("centre", F.col("rep")).withColumn("label", label))
-    totals = checked.groupBy("part", "centre", "label").agg(
-        F.sum("weight").alias("size"), F.count_if(F.coalesce("degree", F.lit(0)) + F.col("weight") < 0).alias("_"), F.min(F.coalesce("degree", F.lit(0)) + F.col("weight")).alias("low"), F.max(F.coalesce("degree", F.lit(0)) + F.col("weight")).alias("high")
-    )
-    checked = cut(checked.join(totals.drop("_"), ["part", "centre", "label"]).withColumn("whole", (F.col("low") == F.col("size")) & (F.col("high") == F.col("size"))))
+    closed = F.coalesce("mark", F.lit(0)) + F.col("own_mark")
+    totals = checked.groupBy("part", "centre", "label").agg(F.sum("weight").alias("size"), F.sum("own_mark").alias("set_mark"), F.min(closed).alias("low"), F.max(closed).alias("high"))
+    # the marks agree only if every member's neighbours and itself are exactly the group
+    whole = (F.col("low") == F.col("set_mark")) & (F.col("high") == F.col("set_mark"))
+    checked = cut(checked.join(totals, ["part", "centre", "label"]).withColumn("whole", whole))
     groups = checked.where(F.col("whole") & (F.col("size") >= min_size)).select("part", "rep", F.col("label").alias("group_seq"))
     failed = checked.where("NOT whole")
     if not failed.isEmpty():
