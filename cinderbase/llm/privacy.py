@@ -48,7 +48,7 @@ ID_CUE = (
     r"(?:passport|passeport|pasaporte|reisepass|identity card|id card|identity number|ausweis|personalausweis|social security|social|ssn|nino|ni|national insurance"
     r"|insurance|versicherungs\w*|sozialversicherungs\w*|tax|steuer|tin|nif|nie|dni|curp|registry|citizen|carte d'identité|numéro fiscal|sécurité sociale|cédula|seguridad social)"
 )
-ID_LINK = r"(?:[\s-]*(?:id|ids|number|nummer|num|no|nr|n°|nº|code|card|is|ist|es|est|numéro|número|file|personal)\b\.?)*\s*[:#=]?\s*"
+ID_LINK = r"(?:[\s-]*(?:id|ids|number|nummer|num|no|nr|n°|nº|code|card|is|ist|es|est|numéro|número|file|personal)\b\.?)*\s*[:#=,]?\s*"
 ID_VALUE = r"(?:[A-Z]{4}\d{6}[A-Z0-9]{6,8}|[A-Z]{0,2}[ -]?\d[\dA-Z]*(?:[ -]?\d[\dA-Z]*)+(?:[ -]?[A-Z])?|[A-Z]{1,3}\d{5,})"
 ID_NUMBER = re.compile(rf"\b{ID_CUE}{ID_LINK}(?-i:(?P<v>{ID_VALUE}))\b", re.I)
 # shapes that need no cue: a registry code of letters, birth date and check characters
@@ -74,7 +74,7 @@ EN_TYPE = r"(?:street|st|road|rd|lane|ln|avenue|ave|boulevard|blvd|row|way|drive
 FLAT = r"(?:(?:flat|apt|apartment|unit|suite|no)\.?\s?\d+[a-z]?,?\s)"
 ADDRESS_EN = re.compile(rf"(?<![\w.+-]){FLAT}?\d{{1,5}}[a-z]?(?:[-–]\d{{1,5}}[a-z]?)?,?\s(?:[nsew]{{1,2}}\.?\s)?(?:{WORD}\s){{1,3}}?{EN_TYPE}(?:,?\s(?:apt|apartment|flat|unit|suite)\.?\s?\d+[a-z]?)?", re.I)
 ADDRESS_NO = re.compile(rf"\bno\.?\s?\d{{1,5}}[a-z]?,?\s(?:{WORD}\s){{1,3}}?{EN_TYPE}", re.I)
-ADDRESS_DE = re.compile(r"\b[^\W\d_][^\W\d_-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm)\s\d{1,4}\s?[a-z]?\b", re.I)
+ADDRESS_DE = re.compile(r"\b[^\W\d_][^\W\d_-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm)\s\d{1,4}(?:\s?[a-z]\b)?", re.I)
 ADDRESS_ES = re.compile(rf"\b(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|carrera)\s(?:(?:de|del|la|las|los|el)\s)*{WORD}(?:\s{WORD})?,?\s(?:n[º°.]\s?)?\d{{1,4}}(?:,?\s\d{{1,2}}\s?[º°ª]\s?[A-Z]?\b)?", re.I)
 ADDRESS_FR = re.compile(rf"(?<![\w.+-])\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|chemin|impasse|quai|allée|cours|route)\s(?:(?:de|du|des|la|le|les|d'|l')\s?)*{WORD}", re.I)
 
@@ -170,6 +170,13 @@ def _is_person(text: str, m: re.Match, lex: Lexicon, reverse: bool) -> bool:
     return False
 
 
+def _fitting(number: str, most: int) -> str:
+    """A number without the groups of digits at its end that make it too long; they belong to what follows."""
+    while sum(c.isdigit() for c in number) > most and (cut_at := re.search(r"[\s./()-]+\d+\)?$", number)):
+        number = number[: cut_at.start()]
+    return number
+
+
 def find(raw: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     """Mentions (start, end, kind) of a text, in order, without overlaps."""
     if not raw:
@@ -195,19 +202,20 @@ def find(raw: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
                 if sum(c.isdigit() for c in m["v"]) >= 5:
                     take(m.start("v"), m.end("v"), "id_number")
         for m in PHONE_PLUS.finditer(text):
-            if 9 <= sum(c.isdigit() for c in m[0]) <= 17:
-                take(m.start(), m.end(), "phone")
+            value = _fitting(m[0], 15 if m[0].startswith("00") else 13)
+            if sum(c.isdigit() for c in value) >= 9:
+                take(m.start(), m.start() + len(value), "phone")
         for pattern in (PHONE_NANP, PHONE_NATIONAL, PHONE_SHORT):
             for m in pattern.finditer(text):
                 before, after = text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 12]
                 if NO_PHONE.search(before) or NO_PHONE_AFTER.match(after) or re.search(r"\d\s$", before):
                     continue
-                count = sum(c.isdigit() for c in m[0])
+                value = _fitting(m[0], 12) if pattern is PHONE_NATIONAL else m[0]
                 if pattern is PHONE_SHORT and not (m["ext"] or m[0].startswith("555") or PHONE_CUE.search(before)):
                     continue
-                if pattern is PHONE_NATIONAL and not 9 <= count <= 13:
+                if pattern is PHONE_NATIONAL and sum(c.isdigit() for c in value) < 9:
                     continue
-                take(m.start(), m.end(), "phone")
+                take(m.start(), m.start() + len(value), "phone")
     for m in PHONE_WORDS.finditer(text):
         take(m.start(), m.end(), "phone")
     if digits:

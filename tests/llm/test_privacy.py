@@ -20,6 +20,8 @@ def kinds(text):
     ("Call +44 7700 900215.", [("+44 7700 900215", "phone")]), ("Mobile: five five five, oh one two three.", [("five five five, oh one two three", "phone")]),
     ("Fax 555-0198 ext. 151, voicemail", [("555-0198 ext. 151", "phone")]), ("tel (842) 555-0123", [("(842) 555-0123", "phone")]), ("030/23125-210 next", [("030/23125-210", "phone")]),
     ("Call +３３ １ ９９ ００ ９７ ５８ after", [("+３３ １ ９９ ００ ９７ ５８", "phone")]),
+    ("tel 030/23125-530 538-6162 points for", [("030/23125-530", "phone")]), ("+44 7700 900215 2024-03-06", [("+44 7700 900215", "phone")]), ("Call 07700 900 417 58643 Trou", [("07700 900 417", "phone")]),
+    ("renew my passport, X37243213", [("X37243213", "id_number")]), ("goes to Brinstr. 100 please", [("Brinstr. 100", "address")]),
     ("Ticket 198-214-3442 about the terminal", []), ("330-9390 points for the team", []), ("Part number 371-36-8934 fits", []), ("Batch 8686 8379 5970 9188 passed", []),
     ("Order no. 9622-83107 arrived", []), ("The terminal runs build 4.6.23.224.", []), ("Use the range 2024-03-06 to 2024-04-09.", []), ("Coordinates 40.2926, 15.2378 mark", []),
     ("Social security number 930-19-4110.", [("930-19-4110", "id_number")]), ("NI number PR416401C on file", [("PR416401C", "id_number")]), ("CURP ZXLW078543LMWLZS48.", [("ZXLW078543LMWLZS48", "id_number")]),
