@@ -207,15 +207,16 @@ def find(raw: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
                 take(m.start(), m.start() + len(value), "phone")
         for pattern in (PHONE_NANP, PHONE_NATIONAL, PHONE_SHORT):
             for m in pattern.finditer(text):
-                before, after = text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 12]
+                value = _fitting(m[0], 12) if pattern is PHONE_NATIONAL else m[0]
+                end = m.start() + len(value)
+                before, after = text[max(0, m.start() - 24) : m.start()], text[end : end + 12]
                 if NO_PHONE.search(before) or NO_PHONE_AFTER.match(after) or re.search(r"\d\s$", before):
                     continue
-                value = _fitting(m[0], 12) if pattern is PHONE_NATIONAL else m[0]
                 if pattern is PHONE_SHORT and not (m["ext"] or m[0].startswith("555") or PHONE_CUE.search(before)):
                     continue
                 if pattern is PHONE_NATIONAL and sum(c.isdigit() for c in value) < 9:
                     continue
-                take(m.start(), m.start() + len(value), "phone")
+                take(m.start(), end, "phone")
     for m in PHONE_WORDS.finditer(text):
         take(m.start(), m.end(), "phone")
     if digits:
