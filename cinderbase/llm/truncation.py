@@ -2,7 +2,7 @@
 
 For each source and column the lengths of all values, in characters and in bytes, are counted. A
 length that is far more frequent than the lengths just below it is a spike; values there were cut by
-a limit unless they end with terminal punctuation. Limits that respect word ends pile values up just
+a limit unless they end with terminal punctuation or a whole line of another kind. Limits that respect word ends pile values up just
 below the limit instead; those are found as spikes of the histogram in steps of ``SOFT_STEP``. At a true limit most values have an open
 end; a spike of whole texts (copies of one text) is none.
 
@@ -29,7 +29,7 @@ LEFTOVER = (
     r"|\[\[|\{\{|\((?:connection|transfer|download|response|stream)\b[^)\n]{0,40}\)?"
     r"|\[(?:truncated|cut|more|read more|continued)[^\]\n]{0,30}\]?))+\s*$"
 )
-FRAGMENT = r"<[/!]?[A-Za-z]{0,12}\s*$"  # half a tag
+FRAGMENT = r"<[/!]?[A-Za-z]{0,12}(?:\.{3}|…|\[(?:\.{3}|…)\]|\s)*$"  # half a tag
 CLOSERS = r"(?:[\"'”’»)\]]|<ref[^>]*>[^<]*</ref>|<ref[^>]*/>|\{\{[^{}]*\}\}|\s)*$"
 SENTENCE_END = r"[.!?。！？]" + CLOSERS
 WHOLE_LINE = (
@@ -77,7 +77,6 @@ def profile(df: DataFrame, column: str = "text", key: str = "doc_id", source: st
         # without a whole sentence, heading, list line, category, template or address at the end
         (~sentence & ~whole & ~listed & ~field).alias("open_end"),
         ((listed | field) & line.rlike(OPEN_BRACKET)).alias("open_item"),
-        ((listed | field) & ~line.rlike(r"[)\].!?]\s*$")).alias("weak_end"),
     )
 
 
@@ -108,7 +107,7 @@ def soft_spikes(rows: DataFrame) -> DataFrame:
 
 
 def detect(df: DataFrame, column: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """Per row ``row_key, row_source, at_limit, cut``. The rows' flags are written once and read for the histograms and the verdict."""
+    """Per row ``row_key, row_source, at_limit, by_limit, cut``. The rows' flags are written once and read for the histograms and the verdict."""
     rows = cut(profile(df, column, key, source))
     hard = hard_spikes(rows)
     for unit in ("chars", "bytes"):
@@ -118,17 +117,18 @@ def detect(df: DataFrame, column: str = "text", key: str = "doc_id", source: str
     soft = soft_spikes(rows.where("NOT at_hard")).select(F.col("row_source").alias("s"), F.col("step").alias("m"), F.lit(True).alias("soft"))
     rows = rows.join(soft, F.col("row_source").eqNullSafe(F.col("s")) & (F.floor((F.col("chars") - 1) / SOFT_STEP) == F.col("m")), "left").drop("s", "m")
     at_limit = F.col("at_hard") | F.col("soft").isNotNull()
-    verdict = F.col("in_markup") | F.col("open_end") | F.col("open_item") | F.col("fragment") | (at_limit & (F.col("weak_end") | F.col("leftover")))
-    return rows.select("row_key", "row_source", "chars", "bytes", at_limit.alias("at_limit"), verdict.alias("cut"), "leftover", "weak_end")
+    unfinished = F.col("in_markup") | F.col("open_end") | F.col("open_item") | F.col("fragment")
+    by_limit = at_limit & (unfinished | F.col("leftover"))
+    return rows.select("row_key", "row_source", "chars", "bytes", at_limit.alias("at_limit"), by_limit.alias("by_limit"), (by_limit | unfinished).alias("cut"), "leftover")
 
 
 def source_rates(df: DataFrame, **names: str) -> DataFrame:
     """How often each source cuts, and at which length most."""
     found = detect(df, **names)
-    per_len = found.where("cut AND at_limit").groupBy("row_source", "chars").count()
+    per_len = found.where("by_limit").groupBy("row_source", "chars").count()
     top = per_len.groupBy("row_source").agg(F.max(F.struct("count", "chars")).alias("m"))
     rates = found.groupBy("row_source").agg(
-        F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("n_cut_at_limit")
+        F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.count_if("by_limit").alias("n_cut_at_limit")
     )
     return rates.join(top.withColumnRenamed("row_source", "s"), F.col("row_source").eqNullSafe(F.col("s")), "left").select(
         F.col("row_source").alias("source"), "n_texts", "n_cut", "n_cut_at_limit", (F.col("n_cut") / F.col("n_texts")).alias("cut_share"), F.col("m.chars").alias("usual_limit")
