@@ -34,7 +34,8 @@ from cinderbase.session import ship
 
 WINDOW, LONG_WINDOW = 6, 12
 CANDIDATE_SHARE, HELD_SHARE, SENTENCE_SHARE = 0.10, 0.33, 0.6
-LEAKED = f"kind = 'verbatim' AND greatest(held_share, window_share) >= {HELD_SHARE}"
+WINDOW_SHARE, WINDOW_HELD = 0.38, 0.15
+LEAKED = f"kind = 'verbatim' AND (held_share >= {HELD_SHARE} OR (window_share >= {WINDOW_SHARE} AND held_share >= {WINDOW_HELD}))"
 REPARAMETERISED_SLOTS, REPARAMETERISED_SHARE = 6, 0.6
 BLOCK_TOKENS = 2_000_000
 #: A token that begins in capitals in at least so many items is no name but a sentence's first word.
@@ -317,6 +318,7 @@ def leaked(found: DataFrame) -> DataFrame:
     """The pairs whose document holds the item: by alignment, or by windows where sentences were cut apart.
 
     An item counts from two fifths of its words; the threshold is lower by what changed words and
-    spelling cost on average.
+    spelling cost on average. Windows alone do not count, since chance values add up in items of very
+    common templates; at least one sentence or part of one must be aligned.
     """
     return found.where(LEAKED)
