@@ -29,9 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderbase.session import cut, ship
+from cinderbase.session import cut, ship, small_enough
 
-BLOCKS, KEY = 1024, 20_240_501
+TEXTS_PER_BLOCK, MOST_BLOCKS, KEY = 20_000, 1 << 20, 20_240_501
+#: Bytes of a block's row when the blocks are sent to the executors; beyond the checked size they are joined by a shuffle.
+BLOCK_BYTES = 64
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern the byte-level vocabulary was trained with (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -123,7 +125,9 @@ def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, tok
     caps = {r["source"]: int(r["max_repeats"]) for r in rows}
     # only targeted sources are counted; a broadcast-free semi join keeps others out
     used = documents.join(F.broadcast(spark.createDataFrame([(s,) for s in share] or [("",)], "source string")), "source", "left_semi")
-    counted = cut(token_counts(used, tokenizer=tokenizer).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(KEY)), F.lit(BLOCKS)).cast("int")))
+    counted = cut(token_counts(used, tokenizer=tokenizer))
+    n_blocks = min(MOST_BLOCKS, max(64, counted.count() // TEXTS_PER_BLOCK))
+    counted = counted.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(KEY)), F.lit(n_blocks)).cast("int"))
     blocks = counted.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
     per_source = {r["source"]: int(r["n"]) for r in blocks.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     a, weights, total = plan(per_source, share, caps, size)
@@ -133,7 +137,8 @@ def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, tok
     placed = blocks.join(F.broadcast(budget), "source").withColumn("end", F.sum("tokens").over(order))
     placed = placed.withColumn("start", F.col("end") - F.col("tokens"))
     placed = placed.select(F.col("source").alias("s"), F.col("block").alias("b"), "passes", "rest", "start", (F.col("end") <= F.col("rest")).alias("whole"), ((F.col("start") < F.col("rest")) & (F.col("end") > F.col("rest"))).alias("edge"))
-    at = counted.join(F.broadcast(placed), (F.col("source") == F.col("s")) & (F.col("block") == F.col("b")))
+    placed = F.broadcast(placed) if small_enough(len(weights) * n_blocks, BLOCK_BYTES) else placed
+    at = counted.join(placed, (F.col("source") == F.col("s")) & (F.col("block") == F.col("b")))
     inner = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(KEY + 2)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     edge = at.where("edge").withColumn("run", F.col("start") + F.sum("n_tokens").over(inner)).withColumn("extra", F.when(F.col("run") <= F.col("rest"), 1).otherwise(0)).drop("run")
     rest = at.where("NOT edge").withColumn("extra", F.when(F.col("whole"), 1).otherwise(0))

@@ -1,8 +1,8 @@
 """Most similar vectors for every vector, with randomly rotated one-bit codes.
 
 Index
-    A bounded sample (``SAMPLE_ROWS``) gives the centroids of the cells and a random rotation is
-    drawn from a seed. Every vector is indexed: it gets its cell, the signs of its rotated residual
+    A bounded sample (at most ``SAMPLE_ROWS``, 20 000 up to a million vectors) gives the centroids of
+    the cells, half the square root of the number of vectors; a random rotation is drawn from a seed. Every vector is indexed: it gets its cell, the signs of its rotated residual
     packed into one 64-bit number, the residual's length and the inner product of the residual with
     its own code (the correction scalar).
 Search
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cinderbase.session import cut, ship
 
-DIMS, SAMPLE_ROWS, MAX_CELLS, SEED = 64, 20_000, 1024, 7
+DIMS, SAMPLE_ROWS, ROWS_PER_CELL, MAX_CELLS, SEED = 64, 100_000, 20, 4096, 7
 BASE_BLOCK, QUERY_BLOCK, CHUNK = 2048, 4096, 256
 #: Width of the error bound of an estimate; at 3 a true neighbour is missed once in some thousand.
 EPSILON = 3.0
@@ -60,14 +60,16 @@ def collapse(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
 
 def train(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Centroids from a bounded sample and the rotation."""
-    sample = vectors.select("vec", F.xxhash64("rep", F.lit(SEED)).alias("h")).orderBy("h").limit(SAMPLE_ROWS).toPandas()
+    wanted = int(min(MAX_CELLS, max(1, round(np.sqrt(n) / 2))))
+    rows = min(SAMPLE_ROWS, max(SAMPLE_ROWS // 5, ROWS_PER_CELL * wanted))
+    sample = vectors.select("vec", F.xxhash64("rep", F.lit(SEED)).alias("h")).orderBy("h").limit(rows).toPandas()
     rng = np.random.default_rng(SEED)
     rotation = np.linalg.qr(rng.standard_normal((DIMS, DIMS)))[0]
     if sample.empty:
         return np.zeros((1, DIMS)), rotation
     x = np.stack([np.asarray(v, np.float64) for v in sample["vec"]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    cells = int(min(MAX_CELLS, max(1, round(np.sqrt(n))), len(x)))
+    cells = min(wanted, len(x))
     # spread seeding: the next seed is drawn by its squared distance to the seeds so far
     chosen = [int(rng.integers(len(x)))]
     far = 2 - 2 * x @ x[chosen[0]]
@@ -105,7 +107,11 @@ def _encode(centroids: np.ndarray, rotation: np.ndarray, probes: int, reach: flo
         x = raw.astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         toward = x @ centroids.T - half
-        near = np.argsort(-toward, axis=1, kind="stable")[:, :probes]
+        if toward.shape[1] > 4 * probes:
+            some = np.argpartition(-toward, probes, axis=1)[:, :probes]
+            near = np.take_along_axis(some, np.argsort(-np.take_along_axis(toward, some, 1), axis=1, kind="stable"), 1)
+        else:
+            near = np.argsort(-toward, axis=1, kind="stable")[:, :probes]
         far = np.sqrt(np.maximum(0, 1 - 2 * np.take_along_axis(toward, near, 1)))
         asked = far <= far[:, :1] + reach
         residual = x - centroids[near[:, 0]]
