@@ -31,6 +31,7 @@ from pyspark.sql.types import StructType
 from cinderbase.session import scratch
 
 SEQUENCE = ("at_ms", "writer_seq", "event_no")
+RUN_ROWS = 4_000_000
 STATE_KEY = ("entity_kind", "key_a", "key_b")
 
 
@@ -65,17 +66,19 @@ def fold(changes: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def append_run(changes: DataFrame, path: str, run: int, buckets: int = 16) -> None:
+def append_run(changes: DataFrame, path: str, run: int, buckets: int | None = None) -> None:
     """Write one batch of canonical changes as a run, sorted by key and sequence within its buckets."""
     _write(fold(changes).withColumn("run", F.lit(run)), path, buckets)
 
 
-def append_runs(changes: DataFrame, run: Column, path: str, buckets: int = 16) -> None:
+def append_runs(changes: DataFrame, run: Column, path: str, buckets: int | None = None) -> None:
     """Write many runs in one job; ``run`` numbers them."""
     _write(fold(changes.withColumn("run", run), "run"), path, buckets)
 
 
-def _write(folded: DataFrame, path: str, buckets: int) -> None:
+def _write(folded: DataFrame, path: str, buckets: int | None) -> None:
+    # as many buckets as the session has shuffle partitions, so that runs grow with the cluster's setting
+    buckets = buckets or int(folded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange by bucket for all runs; each task then writes one sorted file per run
     bucket = F.pmod(F.xxhash64(*STATE_KEY), F.lit(buckets)).cast("int")
     (
@@ -105,17 +108,21 @@ def merge_runs(spark: SparkSession, path: str, keep_tombstones: bool = False, sc
     return state if keep_tombstones else state.where(~F.col("tombstone"))
 
 
-def compact(spark: SparkSession, path: str, target: str, buckets: int = 16, full: bool = True, schema: StructType | str | None = None) -> None:
+def compact(spark: SparkSession, path: str, target: str, buckets: int | None = None, full: bool = True, schema: StructType | str | None = None) -> None:
     """Replace the runs under the path by one run under the target; a full compaction drops tombstones."""
     _write(merge_runs(spark, path, keep_tombstones=not full, schema=schema).withColumn("run", F.lit(0)), target, buckets)
 
 
-def apply_feed(feed: DataFrame, payload: tuple[str, ...] = (), run_rows: int = 4_000_000, compact_after: int = 8) -> DataFrame:
+def apply_feed(feed: DataFrame, payload: tuple[str, ...] = (), run_rows: int | None = None, compact_after: int = 8) -> DataFrame:
     """The state after a whole feed: append runs, compact where there are many, merge on read.
 
-    ``log_line`` is the order of arrival; a run holds ``run_rows`` lines of it.
+    ``log_line`` is the order of arrival; a run holds ``run_rows`` lines of it. By default a feed makes
+    as many runs of ``RUN_ROWS`` lines as it needs, but no more than need no compaction.
     """
     spark = feed.sparkSession
+    if run_rows is None:
+        last = feed.agg(F.max("log_line")).first()[0] if "log_line" in feed.columns else 0
+        run_rows = max(RUN_ROWS, -(-((last or 0) + 1) // compact_after))
     path = scratch(spark, "runs")
     line = F.col("log_line") if "log_line" in feed.columns else F.lit(0)
     run = F.coalesce(F.floor(line / F.lit(run_rows)), F.lit(0)).cast("int")
