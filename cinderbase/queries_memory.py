@@ -15,6 +15,7 @@ from cinderbase.plans import ingest, maintain, search
 from cinderbase.providers import SeededEmbedder, embed, fixed_reply
 from cinderbase.session import scratch, table
 from cinderbase.sources import store
+from cinderbase.streaming import boosts
 
 NOW = int(datetime(2025, 6, 1, tzinfo=UTC).timestamp()) * 1_000_000
 LATE = int(datetime(2026, 4, 1, tzinfo=UTC).timestamp()) * 1_000_000
@@ -802,13 +803,27 @@ def ingest_semantic_stub(s, d):
     return ingest.build(ingest.extract(table(s, d, "conversation_text").select("conv_id", "conversation_text"), reply).select("conv_id", "reply"), F.col("reply")).select("conv_id", "pos", "content", "category", "importance", "stability", "memory_type", "ttl_seconds")
 
 
-@q("stream_boost")
-def stream_boost(s, d):
-    """The change log as a stream: micro-batches become runs, the state is merged on read."""
-    from cinderbase.streaming import boosts
+def _stream(s, d, name):
+    """A table as a stream of its files; a table of one file is found by a pattern."""
+    whole = table(s, d, name)
+    one = len(whole.inputFiles()) == 1 and whole.inputFiles()[0].endswith(f"/{name}.parquet")
+    return s.readStream.schema(whole.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/{name}*.parquet" if one else f"{d}/{name}.parquet")
 
-    source = table(s, d, "memory_log")
-    files = s.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/memory_log.parquet" if len(source.inputFiles()) > 1 else f"{d}/memory_log*.parquet")
+
+@q("stream_changes")
+def stream_changes(s, d):
+    """The change log as a stream: micro-batches become runs, the state is merged on read."""
     path = scratch(s, "stream-runs")
-    boosts.stream_changes(s, files, path, scratch(s, "stream-checkpoint")).awaitTermination()
+    boosts.stream_changes(s, _stream(s, d, "memory_log"), path, scratch(s, "stream-checkpoint")).awaitTermination()
     return changefeed.merge_runs(s, path).groupBy("entity_kind").agg(F.count("*").alias("n"))
+
+
+@q("stream_boost")
+def stream_boost(s, d):
+    """Stability per memory after an access stream; the last state of each memory counts."""
+    path = scratch(s, "stream-boosts")
+    out = boosts.stream_boosts(_stream(s, d, "access_log")).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", scratch(s, "stream-checkpoint"))
+    out.trigger(availableNow=True).start().awaitTermination()
+    last = s.read.parquet(path).groupBy("memory_seq").agg(F.max_by("gain", "n_accesses").alias("gain"), F.max("n_accesses").alias("n_accesses"))
+    rows = last.join(m(s, d).select(F.col("ingest_seq").alias("memory_seq"), "stability"), "memory_seq")
+    return rows.select("memory_seq", "n_accesses", R6(F.least(F.lit(1.0), F.col("stability") + F.col("gain"))).alias("stability"))
