@@ -38,8 +38,12 @@ def similar(memories: DataFrame, queries: DataFrame, k: int, cond: Column) -> Da
     """The k most similar rows per query: ``query, ingest_seq, sim, rank``."""
     if not small_enough(queries.count(), QUERY_BYTES):
         raise ValueError("too many queries for one scan; use operators.similarity.top_k, which works in blocks")
-    base = memories.where(cond).select("ingest_seq", "vec")
-    sims = base.crossJoin(F.broadcast(queries)).select("query", "ingest_seq", F.round(vector.cosine(F.col("qvec"), F.col("vec")), 6).alias("sim"))
+    # each norm is taken once, below the join; a pair then costs one dot product
+    base = memories.where(cond).select("ingest_seq", "vec", vector.norm(F.col("vec")).alias("n"))
+    asked = queries.select("query", "qvec", vector.norm(F.col("qvec")).alias("qn"))
+    n = F.col("n") * F.col("qn")
+    sim = F.when(n == 0, F.lit(0.0)).otherwise(vector.dot(F.col("qvec"), F.col("vec")) / n)
+    sims = base.crossJoin(F.broadcast(asked)).select("query", "ingest_seq", F.round(sim, 6).alias("sim"))
     return top_by_query(sims, [F.desc("sim"), "ingest_seq"], k)
 
 

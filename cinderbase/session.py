@@ -56,9 +56,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder for a written table."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for a written table; it stays until ``clear_scratch``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the written tables of this application; call it when their results have been consumed."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        at = hadoop(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def small_enough(rows: int, bytes_per_row: int, limit: int = 64 << 20) -> bool:

@@ -123,3 +123,15 @@ def test_timestamps_edge_tables(spark):
     got = sorted((r["ingest_seq"] or 0, r["field_name"], r["utc_micros"] or 0) for r in timestamps.normalise(spark.createDataFrame(rows, MEM), apps).collect())
     assert got == [(0, "valid_from", us(2024, 1, 31, 23)), (5, "valid_from", us(2024, 1, 2)), (5, "valid_from", us(2024, 1, 2)), (5, "valid_until", 0), (5, "valid_until", 0)]
     assert timestamps.normalise(spark.createDataFrame(rows, MEM), apps.limit(0)).count() == 5
+
+
+def test_scratch_tables_are_cleared(spark):
+    import os
+
+    from cinderbase.session import clear_scratch, scratch
+
+    path = scratch(spark, "t")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local)
+    assert clear_scratch(spark) >= 1 and not os.path.exists(local) and clear_scratch(spark) == 0
