@@ -35,6 +35,9 @@ from cinderbase.session import cut, ship
 
 DIMS, SAMPLE_ROWS, ROWS_PER_CELL, MAX_CELLS, SEED = 64, 100_000, 20, 4096, 7
 BASE_BLOCK, QUERY_BLOCK, CHUNK = 2048, 4096, 256
+#: Of the search without cells: most rows of a block, pairs multiplied at a time, rows that set a first floor, and
+#: more than single precision can err in the cosine of two vectors of length 1.
+ALL_BLOCK, PAIRS, SOME, SLACK = 65_536, 1 << 21, 2048, 2e-5
 #: Width of the error bound of an estimate; at 3 a true neighbour is missed once in some thousand.
 EPSILON = 3.0
 #: A query probes the cells that are farther than its own by at most this part of the distance at ``min_sim``.
@@ -130,6 +133,22 @@ ENCODED = "part string, rep long, weight long, cell int, probes array<int>, own_
 FOUND = "part string, rep long, degree long, affinity double, least long, mark long, ids array<long>, sims array<double>"
 
 
+def _listed(k: int, min_sim: float, lo: int, qid: np.ndarray, ids: np.ndarray, weight: np.ndarray, marks: np.ndarray, qi: np.ndarray, bi: np.ndarray, exact: np.ndarray) -> list[tuple]:
+    """One row per query of a chunk that begins at ``lo``, from pairs (query, base row) and their cosines."""
+    exact = np.round(np.clip(exact, -1, 1), 6)
+    good = (exact >= min_sim) & (ids[bi] != qid[lo + qi])
+    qi, bi, exact = qi[good], bi[good], exact[good]
+    order = np.lexsort((ids[bi], -exact, qi))
+    qi, bi, exact = qi[order], bi[order], exact[order]
+    at, start, n = np.unique(qi, return_index=True, return_counts=True)
+    rows = []
+    for a, s, c in zip(at, start, n):
+        mine = bi[s : s + c]
+        sims = exact[s : s + c]
+        rows.append((int(qid[lo + a]), int(weight[mine].sum()), float((weight[mine] * sims).sum()), int(ids[mine].min()), int(marks[mine].sum()), ids[mine[:k]].tolist(), sims[:k].tolist()))
+    return rows
+
+
 def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float, whole_degree: bool, exact_only: bool, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     if base.empty or queries.empty:
         return pd.DataFrame({c: [] for c in ("part", "rep", "degree", "affinity", "least", "mark", "ids", "sims")})
@@ -174,21 +193,26 @@ def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float,
             exact = (part @ x.T)[qi, bi]
         else:
             exact = np.einsum("ij,ij->i", part[qi], x[bi])
-        exact = np.round(np.clip(exact, -1, 1), 6)
-        good = (exact >= min_sim) & (ids[bi] != qid[lo + qi])
-        qi, bi, exact = qi[good], bi[good], exact[good]
-        order = np.lexsort((ids[bi], -exact, qi))
-        qi, bi, exact = qi[order], bi[order], exact[order]
-        at, start, n = np.unique(qi, return_index=True, return_counts=True)
-        for a, s, c in zip(at, start, n):
-            mine = bi[s : s + c]
-            sims = exact[s : s + c]
-            rows.append((int(qid[lo + a]), int(weight[mine].sum()), float((weight[mine] * sims).sum()), int(ids[mine].min()), int(marks[mine].sum()), ids[mine[:k]].tolist(), sims[:k].tolist()))
+        rows += _listed(k, min_sim, lo, qid, ids, weight, marks, qi, bi, exact)
     out = pd.DataFrame(rows, columns=["rep", "degree", "affinity", "least", "mark", "ids", "sims"])
     out.insert(0, "part", base["part"].iloc[0])
     return out
 
 
+def _merged(encoded: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """What the blocks found, put together per vector."""
+    merged = found.groupBy("part", "rep").agg(
+        F.sum("degree").alias("degree"),
+        F.sum("affinity").alias("affinity"),
+        F.min("least").alias("least"),
+        F.sum("mark").alias("mark"),
+        F.flatten(F.collect_list(F.arrays_zip("sims", "ids"))).alias("all"),
+    )
+    top = F.slice(F.array_sort(F.transform("all", lambda p: F.struct((-p["sims"]).alias("minus"), p["ids"].alias("id")))), 1, k)
+    merged = merged.select("part", "rep", "degree", "affinity", "least", "mark", F.transform(top, lambda p: F.struct((-p["minus"]).alias("sim"), p["id"].alias("id"))).alias("top"))
+    return encoded.select("part", "rep", "weight", "own_mark").join(merged, ["part", "rep"], "left")
+
+
 def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 16, whole_degree: bool = False, reach: float = REACH, exact: bool = False) -> DataFrame:
     """For each distinct vector: ``part, rep, weight, own_mark, degree, affinity, least, mark, top`` of its neighbours with cosine from ``min_sim``.
 
@@ -222,24 +246,70 @@ def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 16, whole_d
         return _search(*trained.value, k, min_sim, whole_degree, exact, b, q)
 
     found = base.groupBy(*key).cogroup(queries.groupBy(*[f"q_{c}" for c in key])).applyInPandas(pair, FOUND)
-    merged = found.groupBy("part", "rep").agg(
-        F.sum("degree").alias("degree"),
-        F.sum("affinity").alias("affinity"),
-        F.min("least").alias("least"),
-        F.sum("mark").alias("mark"),
-        F.flatten(F.collect_list(F.arrays_zip("sims", "ids"))).alias("all"),
-    )
-    top = F.slice(F.array_sort(F.transform("all", lambda p: F.struct((-p["sims"]).alias("minus"), p["ids"].alias("id")))), 1, k)
-    merged = merged.select("part", "rep", "degree", "affinity", "least", "mark", F.transform(top, lambda p: F.struct((-p["minus"]).alias("sim"), p["id"].alias("id"))).alias("top"))
-    return encoded.select("part", "rep", "weight", "own_mark").join(merged, ["part", "rep"], "left")
+    return _merged(encoded, found, k)
+
 
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if len(pdf):
+            yield pd.DataFrame({"part": pdf["part"], "rep": pdf["rep"], "weight": pdf["weight"], "own_mark": _mark(pdf["rep"].to_numpy()), "blob": [np.asarray(v, np.float32).tobytes() for v in pdf["vec"]]})
+
+
+def _search_block(k: int, min_sim: float, whole_degree: bool, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    rows = []
+    if len(base) and len(queries):
+        x, q = _unit(base["blob"]), _unit(queries["q_blob"])
+        ids, weight, marks = (base[c].to_numpy(np.int64) for c in ("rep", "weight", "own_mark"))
+        qid = queries["q_rep"].to_numpy(np.int64)
+        single, chunk = x.astype(np.float32), max(16, PAIRS // len(x))
+        for lo in range(0, len(q), chunk):
+            part = q[lo : lo + chunk]
+            rough = part.astype(np.float32) @ single.T
+            floor = np.full(len(part), min_sim - SLACK)
+            if not whole_degree and len(ids) > k + 1:
+                # the (k+1)-th largest of some rows: nothing below it can be among the k of all rows
+                floor = np.maximum(floor, np.partition(rough[:, : max(SOME, k + 1)], -(k + 1), axis=1)[:, -(k + 1)] - 2 * SLACK)
+            qi, bi = np.nonzero(rough >= floor[:, None])
+            if len(qi) > 0.02 * rough.size:
+                exact = (part @ x.T)[qi, bi]
+            else:
+                exact = np.einsum("ij,ij->i", part[qi], x[bi])
+            rows += _listed(k, min_sim, lo, qid, ids, weight, marks, qi, bi, exact)
+    out = pd.DataFrame(rows, columns=["rep", "degree", "affinity", "least", "mark", "ids", "sims"])
+    out.insert(0, "part", base["part"].iloc[0] if len(base) else "")
+    return out
 
-def knn(rows: DataFrame, k: int = 5, min_sim: float = -1.0, probes: int = 16) -> DataFrame:
-    """For each row of ``id, vec`` its k most similar other rows: ``id, neighbour, sim, rank``."""
+
+def search_all(vectors: DataFrame, k: int, min_sim: float = -1.0, whole_degree: bool = False) -> DataFrame:
+    """As ``search``, but every vector meets every vector of its part, so nothing is missed at any ``min_sim``.
+
+    Blocks by hash are multiplied in single precision; what the rounding leaves open gets its exact cosine.
+    """
+    ship(vectors.sparkSession)
+    packed = cut(vectors.select("part", "rep", "weight", "vec").mapInPandas(_pack, "part string, rep long, weight long, own_mark long, blob binary"))
+    n = F.count("*")
+    sizes = packed.groupBy("part").agg(F.greatest(F.ceil(n / ALL_BLOCK), F.least(F.lit(6), F.ceil(n / BASE_BLOCK))).alias("nb"))
+    rows, every = packed.join(sizes, "part"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    at = lambda salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("nb"))
+    base = rows.select("part", at(11).alias("bb"), every.alias("qb"), "rep", "weight", "own_mark", "blob")
+    queries = rows.select(F.col("part").alias("q_part"), every.alias("q_bb"), at(12).alias("q_qb"), F.col("rep").alias("q_rep"), F.col("blob").alias("q_blob"))
+
+    def pair(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        return _search_block(k, min_sim, whole_degree, b, q)
+
+    found = base.groupBy("part", "bb", "qb").cogroup(queries.groupBy("q_part", "q_bb", "q_qb")).applyInPandas(pair, FOUND)
+    return _merged(packed, found, k)
+
+
+def knn(rows: DataFrame, k: int = 5, min_sim: float = -1.0, probes: int = 16, whole: bool = False) -> DataFrame:
+    """For each row of ``id, vec`` its k most similar other rows: ``id, neighbour, sim, rank``.
+
+    Cells find what is near, from a cosine of about 0.8; with ``whole`` all vectors are compared, as a lower ``min_sim`` needs.
+    """
     rows = rows.select(F.lit("").alias("part"), "id", "vec").where("id IS NOT NULL").where(usable(F.col("vec")))
     vectors, _ = collapse(rows, k + 1)
     vectors = cut(vectors)
-    found = search(vectors, k + 1, min_sim, probes)
+    found = search_all(vectors, k + 1, min_sim) if whole else search(vectors, k + 1, min_sim, probes)
     firsts = vectors.select("rep", "firsts")
     own = firsts.select("rep", F.lit(1.0).alias("sim"), "firsts")
     other = found.select("rep", F.explode("top").alias("t")).select("rep", "t.sim", F.col("t.id").alias("other"))
