@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from cinderbase.config import DEFAULT, Config
 from cinderbase.functions import decay, vector
-from cinderbase.operators import graph, lexical
+from cinderbase.operators import graph, lexical, similarity
 from cinderbase.session import small_enough
 from cinderbase.sources.store import cold, hot
 
 #: Bytes of one query row when it is sent to the executors.
 QUERY_BYTES = 1024
+#: Most queries that are scanned by expressions; more are multiplied in blocks.
+SCANNED = 64
 
 
 def eligible(deep: bool = False, include_cold: bool = False) -> Column:
@@ -36,8 +38,12 @@ def top_by_query(df: DataFrame, order: list, k: int) -> DataFrame:
 
 def similar(memories: DataFrame, queries: DataFrame, k: int, cond: Column) -> DataFrame:
     """The k most similar rows per query: ``query, ingest_seq, sim, rank``."""
-    if not small_enough(queries.count(), QUERY_BYTES):
+    asking = queries.count()
+    if not small_enough(asking, QUERY_BYTES):
         raise ValueError("too many queries for one scan; use operators.similarity.top_k, which works in blocks")
+    if asking > SCANNED:
+        found = similarity.top_k(queries.select(F.col("query").alias("id"), F.col("qvec").alias("vec")), memories.where(cond).select(F.col("ingest_seq").alias("id"), "vec"), k, itself=True)
+        return found.select("query", F.col("id").alias("ingest_seq"), "sim", "rank")
     # each norm is taken once, below the join; a pair then costs one dot product
     base = memories.where(cond).select("ingest_seq", "vec", vector.norm(F.col("vec")).alias("n"))
     asked = queries.select("query", "qvec", vector.norm(F.col("qvec")).alias("qn"))

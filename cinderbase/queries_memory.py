@@ -59,6 +59,7 @@ EDGES = """edges AS (
   SELECT src, dst, max(weight) AS weight, max(epoch_us(coalesce(last_co_retrieval, created_at))) AS used_us, min(epoch_us(created_at)) AS created_us
   FROM associations WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY src, dst)"""
 QV = "qv AS (SELECT ingest_seq AS query, vec AS qvec FROM store WHERE vec IS NOT NULL ORDER BY ingest_seq LIMIT 3)"
+QV_BATCH = "qv AS (SELECT ingest_seq AS query, vec AS qvec FROM store WHERE vec IS NOT NULL AND ingest_seq % 100 = 0)"
 WITH = f"WITH {STORE} "
 WITH_E = f"WITH {STORE}, {EDGES} "
 COS = "round(list_cosine_similarity(qvec, vec), 6)"
@@ -94,6 +95,11 @@ def query_vectors(mem: DataFrame) -> DataFrame:
     return mem.where("vec IS NOT NULL").orderBy("ingest_seq").limit(3).select(F.col("ingest_seq").alias("query"), F.col("vec").alias("qvec"))
 
 
+def query_batch(mem: DataFrame) -> DataFrame:
+    """The whole query batch: the vectors of all rows whose number is divisible by 100."""
+    return mem.where("vec IS NOT NULL AND ingest_seq % 100 = 0").select(F.col("ingest_seq").alias("query"), F.col("vec").alias("qvec"))
+
+
 LOOSE = replace(DEFAULT, core_access_threshold=5, core_stability_threshold=0.3, core_session_threshold=3)
 R6 = lambda c: F.round(c, 6)
 
@@ -244,15 +250,15 @@ def jsonl_roundtrip(s, d):
 
 # --- vectors and formulas ------------------------------------------------------------------------
 @q("cosine", f"{WITH}, {QV} SELECT query, ingest_seq, {COS} AS sim FROM store, qv WHERE vec IS NOT NULL")
-def cosine(s, d):
+def cosine(s, d, ask=query_vectors):
     mem = m(s, d)
-    return mem.where("vec IS NOT NULL").crossJoin(F.broadcast(query_vectors(mem))).select("query", "ingest_seq", R6(vector.cosine(F.col("qvec"), F.col("vec"))).alias("sim"))
+    return mem.where("vec IS NOT NULL").crossJoin(F.broadcast(ask(mem))).select("query", "ingest_seq", R6(vector.cosine(F.col("qvec"), F.col("vec"))).alias("sim"))
 
 
 @q("euclidean", f"{WITH}, {QV} SELECT query, ingest_seq, round(list_distance(qvec, vec), 6) AS distance FROM store, qv WHERE vec IS NOT NULL")
-def euclidean(s, d):
+def euclidean(s, d, ask=query_vectors):
     mem = m(s, d)
-    return mem.where("vec IS NOT NULL").crossJoin(F.broadcast(query_vectors(mem))).select("query", "ingest_seq", R6(vector.euclidean(F.col("qvec"), F.col("vec"))).alias("distance"))
+    return mem.where("vec IS NOT NULL").crossJoin(F.broadcast(ask(mem))).select("query", "ingest_seq", R6(vector.euclidean(F.col("qvec"), F.col("vec"))).alias("distance"))
 
 
 @q("normalize", f"{WITH} SELECT ingest_seq, round(vec[1] / sqrt(list_sum([x * x FOR x IN vec])), 6) AS first, round(vec[64] / sqrt(list_sum([x * x FOR x IN vec])), 6) AS last, 1e0 AS length FROM store WHERE vec IS NOT NULL")
@@ -577,38 +583,38 @@ def bm25_ctes(words: str, deep: bool = False, k: int = 30) -> str:
       lex AS (SELECT ingest_seq, round({total}, 6) AS bm25 FROM bt, bs WHERE {some} ORDER BY bm25 DESC, ingest_seq LIMIT {k})"""
 
 
-def _search(s, d, **options):
+def _search(s, d, ask=query_vectors, **options):
     mem = m(s, d)
-    return search.search(mem, store.edges(s, d), query_vectors(mem), NOW, **options)
+    return search.search(mem, store.edges(s, d), ask(mem), NOW, **options)
 
 
 _OUT = ["query", "ingest_seq", "sim", "score", "deep", "associative", "rank"]
 
 
 @q("vector_topk", f"{WITH}, {QV}, x AS (SELECT query, ingest_seq, {COS} AS sim FROM store, qv WHERE vec IS NOT NULL AND NOT is_superseded AND {HOT}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, ingest_seq) AS rank FROM x) WHERE rank <= 30")
-def vector_topk(s, d):
+def vector_topk(s, d, ask=query_vectors):
     mem = m(s, d)
-    return search.similar(mem, query_vectors(mem), 30, search.eligible()).select("query", "ingest_seq", "sim", "rank")
+    return search.similar(mem, ask(mem), 30, search.eligible()).select("query", "ingest_seq", "sim", "rank")
 
 
 @q("search_direct", search_sql(tail="SELECT query, ingest_seq, sim, score, rank FROM direct"))
-def search_direct(s, d):
-    return _search(s, d).direct.select("query", "ingest_seq", "sim", "score", "rank")
+def search_direct(s, d, ask=query_vectors):
+    return _search(s, d, ask).direct.select("query", "ingest_seq", "sim", "score", "rank")
 
 
 @q("search", search_sql())
-def search_all(s, d):
-    return _search(s, d).results.select(*_OUT)
+def search_all(s, d, ask=query_vectors):
+    return _search(s, d, ask).results.select(*_OUT)
 
 
 @q("search_deep", search_sql(deep=True))
-def search_deep(s, d):
-    return _search(s, d, deep=True).results.select(*_OUT)
+def search_deep(s, d, ask=query_vectors):
+    return _search(s, d, ask, deep=True).results.select(*_OUT)
 
 
 @q("search_hybrid", search_sql(words=WORDS))
-def search_hybrid(s, d):
-    return _search(s, d, text=WORDS).results.select(*_OUT)
+def search_hybrid(s, d, ask=query_vectors):
+    return _search(s, d, ask, text=WORDS).results.select(*_OUT)
 
 
 @q("bm25", f"{WITH}, {bm25_ctes(WORDS)} SELECT ingest_seq, bm25 FROM lex")
@@ -617,28 +623,28 @@ def bm25(s, d):
 
 
 @q("hybrid_union", search_sql(words=WORDS, tail="SELECT query, ingest_seq, sim FROM cand"))
-def hybrid_union(s, d):
-    return _search(s, d, text=WORDS).candidates.select("query", "ingest_seq", "sim")
+def hybrid_union(s, d, ask=query_vectors):
+    return _search(s, d, ask, text=WORDS).candidates.select("query", "ingest_seq", "sim")
 
 
 @q("assoc_expand", search_sql(tail="SELECT query, ingest_seq, round(w, 6) AS link FROM hop WHERE rn = 1"))
-def assoc_expand(s, d):
+def assoc_expand(s, d, ask=query_vectors):
     mem = m(s, d)
     e = store.edges(s, d)
-    found = search.search(mem, e, query_vectors(mem), NOW)
+    found = search.search(mem, e, ask(mem), NOW)
     return graph.expand(found.direct, e, mem, NOW).select("query", "ingest_seq", R6("link").alias("link"))
 
 
 @q("co_retrieval", search_sql(tail="""SELECT least(x.ingest_seq, y.ingest_seq) AS a, greatest(x.ingest_seq, y.ingest_seq) AS b,
   round(least(1e0, coalesce(max(o.w), 0e0) + count(DISTINCT x.query) * 1e-1), 6) AS weight FROM direct x JOIN direct y ON x.query = y.query AND x.rank < y.rank
   LEFT JOIN (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(weight) AS w FROM edges GROUP BY 1, 2) o ON o.a = least(x.ingest_seq, y.ingest_seq) AND o.b = greatest(x.ingest_seq, y.ingest_seq) GROUP BY 1, 2"""))
-def co_retrieval(s, d):
-    return _search(s, d).edge_delta.select("a", "b", R6("weight").alias("weight"))
+def co_retrieval(s, d, ask=query_vectors):
+    return _search(s, d, ask).edge_delta.select("a", "b", R6("weight").alias("weight"))
 
 
 @q("trace_counts", search_sql(words=WORDS, tail="SELECT query, count_if(dense)::BIGINT AS vector_search, count_if(NOT dense)::BIGINT AS lexical_search FROM (SELECT c.query, EXISTS (SELECT 1 FROM dense d WHERE d.query = c.query AND d.ingest_seq = c.ingest_seq) AS dense FROM cand c) GROUP BY query"))
-def trace_counts(s, d):
-    return _search(s, d, text=WORDS).candidates.groupBy("query").agg(F.count_if(F.col("rank").isNotNull()).alias("vector_search"), F.count_if(F.col("rank").isNull()).alias("lexical_search"))
+def trace_counts(s, d, ask=query_vectors):
+    return _search(s, d, ask, text=WORDS).candidates.groupBy("query").agg(F.count_if(F.col("rank").isNotNull()).alias("vector_search"), F.count_if(F.col("rank").isNull()).alias("lexical_search"))
 
 
 @q("retrieve", f"""{WITH_E}, {QV}, sims AS (SELECT query, ingest_seq, {COS} AS sim FROM store, qv WHERE vec IS NOT NULL AND {HOT} AND NOT is_superseded AND cached >= 2e-1),
@@ -651,20 +657,26 @@ def trace_counts(s, d):
     WHERE NOT EXISTS (SELECT 1 FROM direct x WHERE x.query = n.query AND x.ingest_seq = n.ingest_seq)),
   every AS (SELECT * FROM direct UNION ALL SELECT query, ingest_seq, sim, round(sim * r, 6) FROM n2 WHERE r >= 2e-1)
   SELECT * FROM (SELECT query, ingest_seq, sim, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, ingest_seq) AS rank FROM every) WHERE rank <= 10""")
-def retrieve(s, d):
+def retrieve(s, d, ask=query_vectors):
     mem = m(s, d)
-    return search.retrieve(mem, store.edges(s, d), query_vectors(mem), NOW).select("query", "ingest_seq", "sim", "score", "rank")
+    return search.retrieve(mem, store.edges(s, d), ask(mem), NOW).select("query", "ingest_seq", "sim", "score", "rank")
 
 
 @q("rerank_permute", search_sql(tail="""SELECT query, ingest_seq, rank, row_number() OVER (PARTITION BY query ORDER BY coalesce(CASE rank WHEN 4 THEN 0 WHEN 1 THEN 1 WHEN 6 THEN 2 END, CASE WHEN rank <= 6 THEN 6 ELSE 7 END), rank) AS new_rank FROM direct"""))
-def rerank_permute(s, d):
-    return search.rerank(_search(s, d).direct, [3, 0, 3, 5, 11], 6).select("query", "ingest_seq", "rank", "new_rank")
+def rerank_permute(s, d, ask=query_vectors):
+    return search.rerank(_search(s, d, ask).direct, [3, 0, 3, 5, 11], 6).select("query", "ingest_seq", "rank", "new_rank")
 
 
 @q("linked_multi", search_sql(tail="""SELECT ingest_seq, max(weight) AS strength FROM (SELECT src AS a, dst AS ingest_seq, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)
   WHERE weight >= 3e-1 AND a IN (SELECT ingest_seq FROM direct) AND ingest_seq NOT IN (SELECT ingest_seq FROM direct) GROUP BY ingest_seq"""))
-def linked_multi(s, d):
-    return graph.strongest(_search(s, d).direct.select("ingest_seq").distinct(), store.edges(s, d), 0.3)
+def linked_multi(s, d, ask=query_vectors):
+    return graph.strongest(_search(s, d, ask).direct.select("ingest_seq").distinct(), store.edges(s, d), 0.3)
+
+
+#: The searches above ask for three vectors at every size; these ask for the whole batch.
+BATCHED = ("cosine", "euclidean", "vector_topk", "search_direct", "search", "search_deep", "search_hybrid", "hybrid_union", "assoc_expand", "co_retrieval", "trace_counts", "retrieve", "rerank_permute", "linked_multi")
+for _name in BATCHED:
+    q(f"{_name}_batch", SQL[_name].replace(QV, QV_BATCH))(lambda s, d, f=QUERIES[_name]: f(s, d, query_batch))
 
 
 _LIVE1 = f"live AS (SELECT src, dst, coalesce(weight * exp(-greatest(0e0, ({NOW} - used_us) / 864e8) / 90e0), weight) AS w FROM edges WHERE coalesce(weight * exp(-greatest(0e0, ({NOW} - used_us) / 864e8) / 90e0), weight) >= 1e-3)"
