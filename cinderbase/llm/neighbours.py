@@ -149,7 +149,7 @@ def _listed(k: int, min_sim: float, lo: int, qid: np.ndarray, ids: np.ndarray, w
     return rows
 
 
-def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float, whole_degree: bool, exact_only: bool, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float, whole_degree: bool, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     if base.empty or queries.empty:
         return pd.DataFrame({c: [] for c in ("part", "rep", "degree", "affinity", "least", "mark", "ids", "sims")})
     centre = centroids[int(base["cell"].iloc[0])]
@@ -181,7 +181,7 @@ def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float,
         shift = (part @ centre)[:, None] + x_centre[None, :] - cc
         estimate = scale * dot / align[None, :] + shift
         error = scale * (spread[None, :] + step[:, None] / align[None, :]) + 1e-9
-        wanted = (estimate + error >= min_sim) | exact_only
+        wanted = estimate + error >= min_sim
         if not whole_degree and len(code) > k + 1:
             # the (k+1)-th largest lower bound: nothing whose upper bound is below it can be among the k
             floor = np.partition(estimate - error, -(k + 1), axis=1)[:, -(k + 1)]
@@ -213,18 +213,15 @@ def _merged(encoded: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return encoded.select("part", "rep", "weight", "own_mark").join(merged, ["part", "rep"], "left")
 
 
-def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 16, whole_degree: bool = False, reach: float = REACH, exact: bool = False) -> DataFrame:
+def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 16, whole_degree: bool = False, reach: float = REACH) -> DataFrame:
     """For each distinct vector: ``part, rep, weight, own_mark, degree, affinity, least, mark, top`` of its neighbours with cosine from ``min_sim``.
 
     ``degree``, ``affinity`` (the sum of cosines) and ``mark`` (a hash of the set) cover all neighbours only with
     ``whole_degree``; ``top`` has the k nearest as (sim, id). Vectors without a neighbour have nulls.
-    With ``exact`` every query probes every cell and every vector is ranked by its exact cosine.
     """
     spark = vectors.sparkSession
     ship(spark)
     vectors = vectors.select("part", "rep", "weight", "vec")
-    if exact:
-        probes, reach = MAX_CELLS, float("inf")
     width = reach * float(np.sqrt(2 - 2 * min_sim))
     trained = spark.sparkContext.broadcast(train(vectors, vectors.count()))
     encoded = cut(vectors.mapInPandas(lambda b: _encode(*trained.value, probes, width, b), ENCODED))
@@ -243,7 +240,7 @@ def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 16, whole_d
     key = ["part", "cell", "bb", "qb"]
 
     def pair(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return _search(*trained.value, k, min_sim, whole_degree, exact, b, q)
+        return _search(*trained.value, k, min_sim, whole_degree, b, q)
 
     found = base.groupBy(*key).cogroup(queries.groupBy(*[f"q_{c}" for c in key])).applyInPandas(pair, FOUND)
     return _merged(encoded, found, k)

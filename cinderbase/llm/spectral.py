@@ -1,6 +1,6 @@
 """Clusters of mutually similar records by power-iteration spectral clustering.
 
-1. Sparse affinities: the neighbour search over one-bit codes gives each vector its nearest
+1. Sparse affinities: a search among all vectors of the category gives each vector its nearest
    neighbours with cosine from ``min_sim``, the smallest id among all of them, their number and the
    sum of their cosines. Pairs within a cluster are never emitted; the smallest neighbour keeps a
    cluster connected.
@@ -10,7 +10,8 @@
    centre of their own and adjacent grid cells, centres are means.
 4. Exact check: members of a cluster that share their smallest id form a group if the neighbours of
    each are exactly the others. What fails the check (overlapping or chained groups) is split exactly:
-   its edges are emitted, its components found by label propagation and the maximal sets listed.
+   vectors that have the same neighbours count as one, then the edges are emitted, the components
+   found by label propagation and the maximal sets listed.
 
 Members are ranked by their internal affinity, the sum of their cosines to the others.
 
@@ -111,8 +112,9 @@ def _split(min_size: int):
 
 def exact_rest(rest: DataFrame, min_sim: float, min_size: int) -> DataFrame:
     """Maximal groups among the vectors that failed the check, from all their edges."""
-    found = neighbours.search(rest, k=1 << 30, min_sim=min_sim, whole_degree=True, exact=True)
-    found = cut(found.where("top IS NOT NULL").select("part", "rep", "weight", F.transform("top", lambda t: t["id"]).alias("js")))
+    found = neighbours.search_all(rest, k=1 << 30, min_sim=min_sim, whole_degree=True)
+    js = F.coalesce(F.transform("top", lambda t: t["id"]), F.array().cast("array<long>"))
+    found = cut(found.select("part", "rep", "weight", js.alias("js")))
     edges = found.select("part", "rep", F.explode("js").alias("j"))
     labels = found.select("part", "rep", F.col("rep").alias("label"))
     while True:
@@ -126,11 +128,15 @@ def exact_rest(rest: DataFrame, min_sim: float, min_size: int) -> DataFrame:
 
 
 def cluster(memories: DataFrame, min_sim: float = 0.80, min_size: int = 3, below: float = 0.20, probes: int = 16, reach: float = neighbours.REACH) -> DataFrame:
-    """One row per member: ``category, group_seq, ingest_seq, affinity, group_size``."""
+    """One row per member: ``category, group_seq, ingest_seq, affinity, group_size``.
+
+    All vectors of a category are compared, as the check needs every neighbour; ``probes`` and ``reach`` of the
+    search in cells are accepted and have no effect.
+    """
     rows = fading(memories, below)
     vectors, _ = neighbours.collapse(rows, 1)
     vectors = cut(vectors)
-    found = cut(neighbours.search(vectors, TOP, min_sim, probes, whole_degree=True, reach=reach))
+    found = cut(neighbours.search_all(vectors, TOP, min_sim, whole_degree=True))
     # a vector without neighbours is in a group only as a set of copies; the iteration skips it
     linked = found.where("least IS NOT NULL")
     placed = kmeans(embed(linked, affinities(linked)))
@@ -145,8 +151,13 @@ def cluster(memories: DataFrame, min_sim: float = 0.80, min_size: int = 3, below
     groups = checked.where(F.col("whole") & (F.col("size") >= min_size)).select("part", "rep", F.col("label").alias("group_seq"))
     failed = checked.where("NOT whole")
     if not failed.isEmpty():
-        rest = vectors.join(failed.select("part", "rep"), ["part", "rep"], "left_semi")
-        groups = groups.unionByName(exact_rest(rest, min_sim, min_size))
+        # vectors with the same neighbours and themselves are in the same groups: one of them stands for all
+        alike = ["part", "label", "closed", "closed_n"]
+        failed = failed.withColumns({"closed": closed, "closed_n": F.coalesce("degree", F.lit(0)) + F.col("weight")})
+        first = cut(failed.groupBy(*alike).agg(F.min("rep").alias("first"), F.sum("weight").alias("weight")))
+        rest = vectors.select("part", "rep", "vec").join(first.select("part", F.col("first").alias("rep"), "weight"), ["part", "rep"])
+        split = exact_rest(rest, min_sim, min_size).withColumnRenamed("rep", "first")
+        groups = groups.unionByName(split.join(failed.select("rep", *alike).join(first.drop("weight"), alike).select("part", "first", "rep"), ["part", "first"]).select("part", "rep", "group_seq"))
     sizes = groups.join(checked.select("part", "rep", "weight", F.coalesce("affinity", F.lit(0.0)).alias("affinity")), ["part", "rep"])
     size = sizes.groupBy("part", "group_seq").agg(F.sum("weight").alias("group_size"))
     members = rows.join(vectors.select("part", "vec", "rep"), ["part", "vec"]).select("part", "rep", "id")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from cinderbase.llm import queries
+from cinderbase.llm import queries, spectral
 from cinderbase.session import table
 
 
@@ -25,3 +25,24 @@ def test_every_memory_has_its_neighbours_however_far(spark, data):
     got = {(r["ingest_seq"], r["neighbour_seq"]): r["cosine"] for r in queries.p3_neighbours(spark, data).collect()}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
     assert min(want.values()) < 0.5
+
+
+def bridged(seed, size):
+    """Two groups, each in cells of its own, and a third of two members of the first and one of the second."""
+    rng = np.random.default_rng(seed)
+    across, other = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    degrees = np.concatenate([rng.uniform(-3, 3, size - 2), [18, 18.5], [53], rng.uniform(67, 73, size - 1)])
+    turn = np.radians(degrees)[:, None]
+    return (np.cos(turn) * across + np.sin(turn) * other + 0.002 * rng.standard_normal((len(turn), 64))).astype(np.float32)
+
+
+def test_groups_across_cells_with_the_usual_probes(spark):
+    x = bridged(5, 100)
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = np.round(u @ u.T, 6) >= 0.8
+    sets = spectral._maximal_sets({i: {int(j) for j in np.flatnonzero(row) if j != i} for i, row in enumerate(near)})
+    want = {(i, min(s)) for s in sets if len(s) >= 3 for i in s}
+    rows = [(i, v.tolist(), "a", 0.1) for i, v in enumerate(x)]
+    memories = spark.createDataFrame(rows, "ingest_seq long, embedding array<float>, category string, retention double")
+    assert len({s for _, s in want}) == 3
+    assert {(r["ingest_seq"], r["group_seq"]) for r in spectral.cluster(memories).collect()} == want
