@@ -206,7 +206,9 @@ def held_share(sentences: list[list[str]], doc: list[str], code) -> float:
             for p in where.get((s[k], s[k + 1]), ()):
                 votes[(p - k) // 3] += 1
         best = 0
-        for diagonal, n in votes.most_common(6):
+        for diagonal, _ in votes.most_common():
+            if best == len(s):
+                break
             low = max(0, diagonal * 3 - 3)
             near = doc[low : diagonal * 3 + len(s) + 6]
             if strong and len(strong.intersection(near)) < max(1, 0.3 * len(strong)):
