@@ -190,7 +190,7 @@ def find(raw: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
             taken[start:end] = b"\x01" * (end - start)
             out.append((start, end, kind))
 
-    if "@" in text or "at" in text:
+    if "@" in text or "at" in text.lower():
         for pattern in (EMAIL, EMAIL_SPOKEN):
             for m in pattern.finditer(text):
                 # a spoken address starts with one word; what stands before it belongs to the sentence
