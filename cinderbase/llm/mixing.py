@@ -115,7 +115,8 @@ class Mix:
     exponent: float
 
 
-def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, tokenizer: str = TOKENIZER) -> Mix:
+def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, tokenizer: str = TOKENIZER, available: bool = False) -> Mix:
+    """The mix of the wanted size; with ``available`` that is as many tokens as the sources with a target have."""
     spark = documents.sparkSession
     wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     if wanted.count() > MAX_SOURCES:
@@ -130,6 +131,8 @@ def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, tok
     counted = counted.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(KEY)), F.lit(n_blocks)).cast("int"))
     blocks = counted.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
     per_source = {r["source"]: int(r["n"]) for r in blocks.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    if available:
+        size = float(sum(per_source.get(s, 0) for s, t in share.items() if t > 0))
     a, weights, total = plan(per_source, share, caps, size)
     budgets = [(s, w, int(size_s // per_source[s]), float(size_s % per_source[s])) for s, w in weights.items() for size_s in (min(total * w, caps[s] * per_source[s]),)]
     budget = spark.createDataFrame(budgets or [("", 0.0, 0, 0.0)], "source string, weight double, passes int, rest double")

@@ -66,6 +66,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares
 
 
+def p7_shares_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares and the exponent of a mix of as many tokens as there are, where the caps on repeats decide."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), available=True)
+    return mixed.shares.withColumn("exponent", F.lit(round(mixed.exponent, 9)))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.detect(table(spark, sf_dir, "documents")).where("cut").select(F.col("row_key").alias("doc_id"))
 
@@ -75,7 +81,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_available": p7_shares_available, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict:
