@@ -832,10 +832,8 @@ def stream_changes(s, d):
 
 @q("stream_boost")
 def stream_boost(s, d):
-    """Stability per memory after an access stream; the last state of each memory counts."""
-    path = scratch(s, "stream-boosts")
-    out = boosts.stream_boosts(_stream(s, d, "access_log")).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", scratch(s, "stream-checkpoint"))
-    out.trigger(availableNow=True).start().awaitTermination()
-    last = s.read.parquet(path).groupBy("memory_seq").agg(F.max_by("gain", "n_accesses").alias("gain"), F.max("n_accesses").alias("n_accesses"))
-    rows = last.join(m(s, d).select(F.col("ingest_seq").alias("memory_seq"), "stability"), "memory_seq")
-    return rows.select("memory_seq", "n_accesses", R6(F.least(F.lit(1.0), F.col("stability") + F.col("gain"))).alias("stability"))
+    """Stability per memory after an access stream: micro-batches are appended, the accesses are replayed on read."""
+    path = scratch(s, "stream-accesses")
+    source = _stream(s, d, "access_log")
+    boosts.stream_accesses(source, path, scratch(s, "stream-checkpoint")).awaitTermination()
+    return maintain.replay_boosts(s.read.schema("memory_seq long, ts timestamp").parquet(path), m(s, d))

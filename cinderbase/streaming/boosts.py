@@ -1,21 +1,17 @@
-"""Streaming variants: the change log kept as a state, and stability kept per memory from an access stream.
+"""Streaming variants: the change log kept as a state, and the accesses that stability is made of.
 
 Both are extensions; the engine itself has no streams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cinderbase.config import DEFAULT, Config
 from cinderbase.operators import changefeed
-from cinderbase.session import ship
 
 
 def stream_changes(spark: SparkSession, source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -42,32 +38,17 @@ def stream_access_counts(source: DataFrame, delay: str = "10 minutes") -> DataFr
     )
 
 
-def stream_boosts(source: DataFrame, cfg: Config = DEFAULT, delay: str = "30 days") -> DataFrame:
-    """Stability gained per memory, kept as a state of three numbers: ``memory_seq, n_accesses, gain``, a row per change.
+def stream_accesses(source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the accesses of each micro-batch under the path: ``memory_seq, ts``; ``maintain.replay_boosts`` makes the stability of them.
 
-    Accesses of a batch are taken in the order of their time; a repeated ``event_id`` within the delay
-    counts once, and a late access adds to the count but gains nothing. The state of a memory does not
-    grow with its accesses, and a hot memory's batch is read in chunks.
+    Nothing is dropped for being late, and an access that is delivered again counts once in the replay,
+    so the stability does not depend on the number of files and batches or their order.
     """
-    ship(source.sparkSession)
-    boost, cap, interval = cfg.direct_boost, cfg.max_spaced_rep_multiplier, cfg.spaced_rep_interval_days * 86_400_000_000.0
-
-    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, gain, last = state.get if state.exists else (0, 0.0, None)
-        times = sorted(t for chunk in chunks for t in chunk["us"])
-        for t in times:
-            if last is not None and t > last:
-                gain += boost * min(cap, (t - last) / interval)
-            last = t if last is None else max(last, t)
-            count += 1
-        state.update((count, gain, last))
-        yield pd.DataFrame({"memory_seq": [key[0]], "n_accesses": [count], "gain": [gain]})
-
-    rows = source.where("memory_seq IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    rows = rows.select("memory_seq", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("memory_seq").applyInPandasWithState(
-        update, "memory_seq long, n_accesses long, gain double", "n_accesses long, gain double, last long", "append", GroupStateTimeout.NoTimeout
-    )
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.where("memory_seq IS NOT NULL AND ts IS NOT NULL").select("memory_seq", "ts").distinct().write.mode("append").parquet(path)
+
+    return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def every(n: int, job: Callable[[], None]) -> Callable[[DataFrame, int], None]:
