@@ -31,7 +31,8 @@ from pyspark.sql.types import StructType
 from cinderbase.session import scratch
 
 SEQUENCE = ("at_ms", "writer_seq", "event_no")
-RUN_ROWS = 4_000_000
+#: Lines of a run at least, and runs of a feed at most, by default.
+RUN_ROWS, MOST_RUNS = 5_000, 24
 STATE_KEY = ("entity_kind", "key_a", "key_b")
 
 
@@ -114,26 +115,28 @@ def compact(spark: SparkSession, path: str, target: str, buckets: int | None = N
 
 
 def apply_feed(feed: DataFrame, payload: tuple[str, ...] = (), run_rows: int | None = None, compact_after: int = 8) -> DataFrame:
-    """The state after a whole feed: append runs, compact where there are many, merge on read.
+    """The state after a whole feed: append runs, compact whenever there are ``compact_after``, merge on read.
 
     ``log_line`` is the order of arrival; a run holds ``run_rows`` lines of it. By default a feed makes
-    as many runs of ``RUN_ROWS`` lines as it needs, but no more than need no compaction.
+    as many runs of ``RUN_ROWS`` lines as it needs, but at most ``MOST_RUNS``.
     """
     spark = feed.sparkSession
+    last = (feed.agg(F.max("log_line")).first()[0] if "log_line" in feed.columns else 0) or 0
     if run_rows is None:
-        last = feed.agg(F.max("log_line")).first()[0] if "log_line" in feed.columns else 0
-        run_rows = max(RUN_ROWS, -(-((last or 0) + 1) // compact_after))
+        run_rows = max(RUN_ROWS, -(-(last + 1) // MOST_RUNS))
     path = scratch(spark, "runs")
     line = F.col("log_line") if "log_line" in feed.columns else F.lit(0)
     run = F.coalesce(F.floor(line / F.lit(run_rows)), F.lit(0)).cast("int")
     changes = canonical_changes(feed.withColumn("event_run", run), (*payload, "event_run"))
     changes = changes.withColumn("run", F.col("row.event_run"))
-    append_runs(changes, F.col("run"), path)
     schema = fold(changes, "run").withColumn("bucket", F.lit(0)).schema
-    runs = _runs(spark, path, schema).select("run").distinct().count()
-    if runs > compact_after:
-        target = scratch(spark, "compacted")
-        compact(spark, path, target, schema=schema)
-        path = target
+    for first in range(0, last // run_rows + 1, compact_after):
+        if first:
+            # tombstones stay, since an earlier change of a deleted key may arrive in a later run
+            target = scratch(spark, "compacted")
+            compact(spark, path, target, full=False, schema=schema)
+            path = target
+        due = changes.where(F.col("run") < first + compact_after)
+        append_runs(due.where(F.col("run") >= first) if first else due, F.col("run"), path)
     state = merge_runs(spark, path, schema=schema)
     return state.select(*STATE_KEY, *[f"seq.{c}" for c in SEQUENCE], *[F.col(f"row.{c}").alias(c) for c in payload if c not in (*STATE_KEY, *SEQUENCE)])
