@@ -1,47 +1,49 @@
 """Most similar vectors for every vector, with randomly rotated one-bit codes.
 
 Index
-    A bounded sample (at most ``SAMPLE_ROWS``, 20 000 up to a million vectors) gives the centroids of
-    the cells, half the square root of the number of vectors; a random rotation is drawn from a seed. Every vector is indexed: it gets its cell, the signs of its rotated residual
-    packed into one 64-bit number, the residual's length and the inner product of the residual with
-    its own code (the correction scalar).
+    A bounded sample (at most ``SAMPLE_ROWS``) gives, in one executor task, the centroids of the cells
+    (as many as the square root of the number of vectors, at most ``MAX_CELLS``); a random rotation is
+    drawn from a seed. Every vector is indexed: it gets its cell, the signs of its rotated residual
+    packed into one 64-bit number, the residual's length and the inner product of the residual with its
+    own code (the correction scalar).
 Search
-    Every vector is a query. It probes the cells that are hardly farther than its own (``REACH``), at
-    most ``probes``. The inner product with each
-    vector of a cell is estimated from the packed bits (the query's rotated residual is quantised to
-    four bits, so the estimate is four AND-popcounts) and the correction scalar; the error bound of
-    the estimate decides which vectors are reranked with their exact cosine in double precision.
+    Every vector is a query. A vector within distance ``t`` of the query can only lie in a cell whose
+    border with the query's own cell is at most ``t`` away, so the cells whose border is within
+    ``margin`` are probed. With the distance that belongs to ``min_sim`` as margin (``margin=None``) no
+    cell is left out wrongly; a smaller one trades recall for work. In a probed cell the inner products
+    are estimated from the signs and the correction scalars; the error bound of an estimate decides
+    which vectors are reranked with their exact cosine in double precision.
 Blocks
-    Cells are cut into blocks of base rows and blocks of queries by hash, so a hot cell is spread
-    over many tasks. Exact copies are collapsed to one vector with its weight and its first ``k+1``
-    ids before the search, so copies never meet pairwise; results are expanded to all rows after it.
+    Cells that are near each other form a block of base rows; a cell that is larger than a block is
+    cut by hash. A query is sent once to each block with cells it probes, together with their list, and
+    the queries of a block are cut by hash. So a hot cell is spread over many tasks. Exact copies are
+    collapsed within each Arrow batch before anything is shuffled, to one node with its members.
 
 Defined cases: a vector is usable if it has ``dims`` finite elements, not all zero; others neither
-ask nor answer; a row without an id is left out; repeated ids count as separate rows; equal
-similarities (rounded to six digits) are ordered by id; an empty table gives no rows; other columns
-are not touched.
+ask nor answer; a row without an id is left out; rows of one id are each listed, and none of them is a
+neighbour of another; equal similarities (rounded to six digits) are ordered by id; an empty table
+gives no rows; other columns are not touched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderbase.session import cut, ship
 
-DIMS, SAMPLE_ROWS, ROWS_PER_CELL, MAX_CELLS, SEED = 64, 100_000, 20, 4096, 7
-BASE_BLOCK, QUERY_BLOCK, CHUNK = 2048, 4096, 256
-#: Of the search without cells: most rows of a block, pairs multiplied at a time, rows that set a first floor, and
-#: more than single precision can err in the cosine of two vectors of length 1.
-ALL_BLOCK, PAIRS, SOME, SLACK = 65_536, 1 << 21, 2048, 2e-5
-#: Width of the error bound of an estimate; at 3 a true neighbour is missed once in some thousand.
+DIMS, SAMPLE_ROWS, ROWS_PER_CELL, MAX_CELLS, SEED = 64, 200_000, 20, 16_384, 7
+#: Most rows of a block, fewest blocks worth a task of their own, queries of a block, and pairs estimated at a time.
+BLOCK, FEW, SMALL_BLOCK, QUERY_BLOCK, PAIRS = 32_768, 8, 2048, 65_536, 1 << 21
+#: Width of the error bound of an estimate, in deviations; at 3 a true neighbour is missed once in some thousand.
 EPSILON = 3.0
-#: A query probes the cells that are farther than its own by at most this part of the distance at ``min_sim``.
-REACH = 0.2
+#: Distance to the border up to which the cells are probed: for neighbours from a cosine of about 0.8, and for all.
+NEAR_MARGIN, FAR_MARGIN = 0.16, 0.25
 
 
 def usable(vec: Column, dims: int = DIMS) -> Column:
@@ -49,46 +51,134 @@ def usable(vec: Column, dims: int = DIMS) -> Column:
     return vec.isNotNull() & (F.size(vec) == dims) & finite & F.exists(vec, lambda x: x != 0)
 
 
-def collapse(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct vectors (``part, rep, weight, firsts, vec``) and the rows with the vector they share.
+@dataclass
+class Index:
+    """What the executors need to place a vector: centroids, rotation, and the blocks of the cells."""
 
-    Only the first ``keep`` ids of a vector are gathered; Spark limits them before the shuffle.
-    """
-    by_vec = Window.partitionBy("part", "vec").orderBy("id")
-    first = rows.withColumn("rn", F.row_number().over(by_vec)).where(F.col("rn") <= keep)
-    firsts = first.groupBy("part", "vec").agg(F.array_sort(F.collect_list("id")).alias("firsts"), F.min("id").alias("rep"))
-    weights = rows.groupBy("part", "vec").agg(F.count("*").alias("weight"))
-    return firsts.join(weights, ["part", "vec"]), rows
-
-
-def train(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids from a bounded sample and the rotation."""
-    wanted = int(min(MAX_CELLS, max(1, round(np.sqrt(n) / 2))))
-    rows = min(SAMPLE_ROWS, max(SAMPLE_ROWS // 5, ROWS_PER_CELL * wanted))
-    sample = vectors.select("vec", F.xxhash64("rep", F.lit(SEED)).alias("h")).orderBy("h").limit(rows).toPandas()
+    centroids: np.ndarray
+    rotation: np.ndarray
+    first_block: np.ndarray
+    n_blocks: np.ndarray
+    query_cuts: np.ndarray
+
+
+def _squares(c: np.ndarray) -> np.ndarray:
+    return (c * c).sum(axis=1)
+
+
+def _chunks(rows: int, cells: int) -> Iterator[slice]:
+    step = max(1, (1 << 22) // max(1, cells))
+    for lo in range(0, rows, step):
+        yield slice(lo, min(rows, lo + step))
+
+
+def _own(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    half = 0.5 * _squares(c)
+    return np.concatenate([np.argmax(x[s] @ c.T - half, axis=1) for s in _chunks(len(x), len(c))])
+
+
+def _centroids(x: np.ndarray, cells: int, rng: np.random.Generator) -> np.ndarray:
+    if cells <= 1024:
+        # spread seeding: the next seed is drawn by its squared distance to the seeds so far
+        chosen = [int(rng.integers(len(x)))]
+        far = 2 - 2 * x @ x[chosen[0]]
+        for _ in range(cells - 1):
+            p = np.maximum(far, 0).astype(np.float64)
+            nxt = int(rng.choice(len(x), p=p / p.sum())) if p.sum() > 1e-9 else int(rng.integers(len(x)))
+            chosen.append(nxt)
+            far = np.minimum(far, 2 - 2 * x @ x[nxt])
+    else:
+        chosen = rng.choice(len(x), cells, replace=False)
+    c = x[chosen].copy()
+    for _ in range(4):
+        own = _own(x, c)
+        order = np.argsort(own, kind="stable")
+        at, start = np.unique(own[order], return_index=True)
+        c[at] = np.add.reduceat(x[order], start, axis=0) / np.diff([*start, len(x)])[:, None]
+    return c
+
+
+def _probes(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each vector's own cell; and as (vector, cell), in order of vectors, own first, the cells whose border with it is within the margin."""
+    cc = _squares(c)
+    owns, rows, cells = [], [], []
+    for s in _chunks(len(x), len(c)):
+        square = np.maximum(0, _squares(x[s])[:, None] + cc - 2 * x[s] @ c.T)
+        own = np.argmin(square, axis=1)
+        between = np.sqrt(np.maximum(1e-12, cc[own][:, None] + cc - 2 * c[own] @ c.T))
+        border = (square - np.take_along_axis(square, own[:, None], 1)) / (2 * between)
+        asked = border <= margin + 1e-6
+        every = np.arange(len(own))
+        asked[every, own] = False
+        at, cell = np.nonzero(asked)
+        at, cell = np.concatenate([every, at]), np.concatenate([own, cell])
+        order = np.argsort(at, kind="stable")
+        rows.append(at[order] + s.start)
+        cells.append(cell[order])
+        owns.append(own)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(owns or none), np.concatenate(rows or none), np.concatenate(cells or none)
+
+
+def _pack_cells(c: np.ndarray, rows: np.ndarray, block: float) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell; cells near each other share a block."""
+    first, n = np.zeros(len(c), np.int32), np.ones(len(c), np.int32)
+    stack, made = [np.arange(len(c))], 0
+    while stack:
+        cells = stack.pop()
+        total = rows[cells].sum()
+        if len(cells) == 1 or total <= block:
+            cuts = max(1, int(np.ceil(total / block))) if len(cells) == 1 else 1
+            first[cells], n[cells] = made, cuts
+            made += cuts
+            continue
+        x = c[cells] - c[cells].mean(axis=0)
+        axis = np.linalg.eigh(x.T @ x)[1][:, -1]
+        order = cells[np.argsort(x @ axis, kind="stable")]
+        middle = int(np.clip(np.searchsorted(np.cumsum(rows[order]), total / 2), 1, len(order) - 1))
+        stack += [order[middle:], order[:middle]]
+    return first, n
+
+
+def _train(n: int, margin: float, pdf: pd.DataFrame) -> Index:
     rng = np.random.default_rng(SEED)
     rotation = np.linalg.qr(rng.standard_normal((DIMS, DIMS)))[0]
-    if sample.empty:
-        return np.zeros((1, DIMS)), rotation
-    x = np.stack([np.asarray(v, np.float64) for v in sample["vec"]])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    cells = min(wanted, len(x))
-    # spread seeding: the next seed is drawn by its squared distance to the seeds so far
-    chosen = [int(rng.integers(len(x)))]
-    far = 2 - 2 * x @ x[chosen[0]]
-    for _ in range(cells - 1):
-        p = np.maximum(far, 0)
-        nxt = int(rng.choice(len(x), p=p / p.sum())) if p.sum() > 1e-9 else int(rng.integers(len(x)))
-        chosen.append(nxt)
-        far = np.minimum(far, 2 - 2 * x @ x[nxt])
-    centroids = x[chosen].copy()
-    for _ in range(4):
-        own = np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(1), axis=1)
-        for c in range(cells):
-            members = x[own == c]
-            if len(members):
-                centroids[c] = members.mean(axis=0)
-    return centroids, rotation
+    if pdf.empty:
+        return Index(np.zeros((1, DIMS)), rotation, np.zeros(1, np.int32), np.ones(1, np.int32), np.ones(1, np.int32))
+    x = np.stack([np.asarray(v, np.float32) for v in pdf["vec"]])
+    x /= np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    c = _centroids(x, int(min(MAX_CELLS, max(1, round(np.sqrt(n))), max(1, len(x) // 2))), rng).astype(np.float64)
+    # sizes of the cells, and how many ask each block, as the sample has them
+    rows = np.bincount(_own(x, c), minlength=len(c)) * (n / len(x))
+    first, cuts = _pack_cells(c, rows, min(BLOCK, max(SMALL_BLOCK, n / FEW)))
+    some = x[rng.choice(len(x), min(len(x), 2000), replace=False)].astype(np.float64)
+    asks = np.zeros(int((first + cuts).max()))
+    _, who, cells = _probes(some, c, margin)
+    asked = np.unique(who * len(asks) + first[cells]) % len(asks)
+    asks += np.bincount(asked, minlength=len(asks)) * (n / len(some))
+    for cell in np.flatnonzero(cuts > 1):
+        asks[first[cell] : first[cell] + cuts[cell]] = asks[first[cell]]
+    return Index(c, rotation, first, cuts, np.maximum(1, np.ceil(asks / QUERY_BLOCK)).astype(np.int32))
+
+
+def train(rows: DataFrame, margin: float) -> Index:
+    """The index, fitted in one executor task on a bounded sample by hash of the id."""
+    n = rows.count()
+    wanted = min(SAMPLE_ROWS, max(SAMPLE_ROWS // 10, ROWS_PER_CELL * round(np.sqrt(n))))
+    share = min(1.0, wanted / max(1, n))
+    sample = rows.select("vec").where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = list(batches)
+        index = _train(n, margin, pd.concat(got) if got else pd.DataFrame({"vec": []}))
+        yield pd.DataFrame({name: [np.ascontiguousarray(getattr(index, name)).tobytes()] for name in ("centroids", "rotation", "first_block", "n_blocks", "query_cuts")})
+
+    row = sample.repartition(1).mapInPandas(fit, "centroids binary, rotation binary, first_block binary, n_blocks binary, query_cuts binary").first()
+    if row is None:  # an empty table has no partition to fit in
+        return _train(n, margin, pd.DataFrame({"vec": []}))
+    whole = lambda b: np.frombuffer(bytes(b), np.int32)
+    wide = lambda b: np.frombuffer(bytes(b), np.float64).reshape(-1, DIMS)
+    return Index(wide(row[0]), wide(row[1]), whole(row[2]), whole(row[3]), whole(row[4]))
 
 
 def _mark(ids: np.ndarray) -> np.ndarray:
@@ -97,225 +187,298 @@ def _mark(ids: np.ndarray) -> np.ndarray:
 
 
 def _unit(blobs) -> np.ndarray:
-    x = np.stack([np.frombuffer(b, np.float32) for b in blobs]).astype(np.float64)
+    x = np.frombuffer(b"".join(blobs), np.float32).reshape(-1, DIMS).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _encode(centroids: np.ndarray, rotation: np.ndarray, probes: int, reach: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    half = 0.5 * (centroids**2).sum(1)
+def _nodes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a batch with copies put together: ``part, blob, members, weight``."""
+    pdf = pdf.assign(blob=[np.asarray(v, np.float32).tobytes() for v in pdf["vec"]]).sort_values(["part", "id"], kind="stable")
+    if not pdf.duplicated(["part", "blob"]).any():
+        return pd.DataFrame({"part": pdf["part"].to_numpy(), "blob": pdf["blob"].to_numpy(), "members": [[i] for i in pdf["id"].tolist()], "weight": pdf["weight"].to_numpy()})
+    return pdf.groupby(["part", "blob"], sort=False).agg(members=("id", list), weight=("weight", "sum")).reset_index()
+
+
+def _encode(index: Index, margin: float, keep: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if pdf.empty:
             continue
-        raw = np.stack([np.asarray(v, np.float32) for v in pdf["vec"]])
-        x = raw.astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        toward = x @ centroids.T - half
-        if toward.shape[1] > 4 * probes:
-            some = np.argpartition(-toward, probes, axis=1)[:, :probes]
-            near = np.take_along_axis(some, np.argsort(-np.take_along_axis(toward, some, 1), axis=1, kind="stable"), 1)
-        else:
-            near = np.argsort(-toward, axis=1, kind="stable")[:, :probes]
-        far = np.sqrt(np.maximum(0, 1 - 2 * np.take_along_axis(toward, near, 1)))
-        asked = far <= far[:, :1] + reach
-        residual = x - centroids[near[:, 0]]
+        nodes = _nodes(pdf)
+        x = _unit(nodes["blob"])
+        own, who, cells = _probes(x, index.centroids, margin)
+        residual = x - index.centroids[own]
         length = np.linalg.norm(residual, axis=1)
-        turned = (residual / np.maximum(length, 1e-12)[:, None]) @ rotation
-        bits = turned > 0
-        code = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel().view(np.int64)
-        align = np.abs(turned).sum(axis=1) / np.sqrt(DIMS)
+        turned = (residual / np.maximum(length, 1e-12)[:, None]) @ index.rotation
+        code = np.packbits(turned > 0, axis=1, bitorder="little").view(np.uint64).ravel().view(np.int64)
+        rep = np.array([m[0] for m in nodes["members"]], np.int64)
+        # a row of a cut cell lies in one of its blocks; who asks such a cell asks all of them
+        place = _mark(rep) % index.n_blocks[own] + index.first_block[own]
+        ends = np.searchsorted(who, np.arange(1, len(x) + 1)) * 2
+        raw, starts = cells.astype(np.uint16).tobytes(), np.concatenate([[0], ends[:-1]])
         yield pd.DataFrame({
-            "part": pdf["part"], "rep": pdf["rep"], "weight": pdf["weight"], "cell": near[:, 0].astype(np.int32), "probes": [row[ok] for row, ok in zip(near.astype(np.int32), asked)],
-            "own_mark": _mark(pdf["rep"].to_numpy()), "code": code, "length": length, "align": align, "blob": [r.tobytes() for r in raw],
+            "part": nodes["part"], "rep": rep, "members": nodes["members"], "firsts": [m[:keep] for m in nodes["members"]], "weight": nodes["weight"],
+            "cell": own.astype(np.int32), "block": place.astype(np.int32), "cuts": index.query_cuts[place], "cells": [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())],
+            "code": code, "length": length, "align": np.abs(turned).sum(axis=1) / np.sqrt(DIMS), "blob": nodes["blob"],
         })
 
 
-ENCODED = "part string, rep long, weight long, cell int, probes array<int>, own_mark long, code long, length double, align double, blob binary"
-FOUND = "part string, rep long, degree long, affinity double, least long, mark long, ids array<long>, sims array<double>"
-
-
-def _listed(k: int, min_sim: float, lo: int, qid: np.ndarray, ids: np.ndarray, weight: np.ndarray, marks: np.ndarray, qi: np.ndarray, bi: np.ndarray, exact: np.ndarray) -> list[tuple]:
-    """One row per query of a chunk that begins at ``lo``, from pairs (query, base row) and their cosines."""
-    exact = np.round(np.clip(exact, -1, 1), 6)
-    good = (exact >= min_sim) & (ids[bi] != qid[lo + qi])
-    qi, bi, exact = qi[good], bi[good], exact[good]
-    order = np.lexsort((ids[bi], -exact, qi))
-    qi, bi, exact = qi[order], bi[order], exact[order]
-    at, start, n = np.unique(qi, return_index=True, return_counts=True)
-    rows = []
-    for a, s, c in zip(at, start, n):
-        mine = bi[s : s + c]
-        sims = exact[s : s + c]
-        rows.append((int(qid[lo + a]), int(weight[mine].sum()), float((weight[mine] * sims).sum()), int(ids[mine].min()), int(marks[mine].sum()), ids[mine[:k]].tolist(), sims[:k].tolist()))
-    return rows
-
-
-def _search(centroids: np.ndarray, rotation: np.ndarray, k: int, min_sim: float, whole_degree: bool, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    if base.empty or queries.empty:
-        return pd.DataFrame({c: [] for c in ("part", "rep", "degree", "affinity", "least", "mark", "ids", "sims")})
-    centre = centroids[int(base["cell"].iloc[0])]
-    x, q = _unit(base["blob"]), _unit(queries["q_blob"])
-    ids, weight = base["rep"].to_numpy(np.int64), base["weight"].to_numpy(np.int64)
-    marks = base["own_mark"].to_numpy(np.int64)
-    code = base["code"].to_numpy(np.int64).view(np.uint64)
-    length, align = base["length"].to_numpy(), np.maximum(base["align"].to_numpy(), 1e-6)
-    ones = np.bitwise_count(code).astype(np.float64)
-    x_centre, cc = x @ centre, centre @ centre
-    spread = np.sqrt(np.maximum(0, 1 - align**2)) / align * EPSILON / np.sqrt(DIMS - 1)
-    qid = queries["q_rep"].to_numpy(np.int64)
-    rows = []
-    for lo in range(0, len(q), CHUNK):
-        part = q[lo : lo + CHUNK]
-        rest = part - centre
-        far = np.linalg.norm(rest, axis=1)
-        turned = (rest / np.maximum(far, 1e-12)[:, None]) @ rotation
-        low = turned.min(axis=1)
-        step = np.maximum((turned.max(axis=1) - low) / 15, 1e-12)
-        levels = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
-        dot = np.zeros((len(part), len(code)), np.float64)
-        for j in range(4):
-            plane = np.packbits((levels >> j) & 1, axis=1, bitorder="little").view(np.uint64).ravel()
-            dot += np.bitwise_count(plane[:, None] & code[None, :]) * float(1 << j)
-        quantised = low[:, None] + step[:, None] * levels
-        dot = (2 * (step[:, None] * dot + low[:, None] * ones[None, :]) - quantised.sum(axis=1)[:, None]) / np.sqrt(DIMS)
-        scale = far[:, None] * length[None, :]
-        shift = (part @ centre)[:, None] + x_centre[None, :] - cc
-        estimate = scale * dot / align[None, :] + shift
-        error = scale * (spread[None, :] + step[:, None] / align[None, :]) + 1e-9
-        wanted = estimate + error >= min_sim
-        if not whole_degree and len(code) > k + 1:
-            # the (k+1)-th largest lower bound: nothing whose upper bound is below it can be among the k
-            floor = np.partition(estimate - error, -(k + 1), axis=1)[:, -(k + 1)]
-            wanted &= estimate + error >= floor[:, None]
-        qi, bi = np.nonzero(wanted)
-        if not len(qi):
-            continue
-        if len(qi) > 0.1 * wanted.size:
-            exact = (part @ x.T)[qi, bi]
-        else:
-            exact = np.einsum("ij,ij->i", part[qi], x[bi])
-        rows += _listed(k, min_sim, lo, qid, ids, weight, marks, qi, bi, exact)
-    out = pd.DataFrame(rows, columns=["rep", "degree", "affinity", "least", "mark", "ids", "sims"])
-    out.insert(0, "part", base["part"].iloc[0])
-    return out
-
-
-def _merged(encoded: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """What the blocks found, put together per vector."""
-    merged = found.groupBy("part", "rep").agg(
-        F.sum("degree").alias("degree"),
-        F.sum("affinity").alias("affinity"),
-        F.min("least").alias("least"),
-        F.sum("mark").alias("mark"),
-        F.flatten(F.collect_list(F.arrays_zip("sims", "ids"))).alias("all"),
-    )
-    top = F.slice(F.array_sort(F.transform("all", lambda p: F.struct((-p["sims"]).alias("minus"), p["ids"].alias("id")))), 1, k)
-    merged = merged.select("part", "rep", "degree", "affinity", "least", "mark", F.transform(top, lambda p: F.struct((-p["minus"]).alias("sim"), p["id"].alias("id"))).alias("top"))
-    return encoded.select("part", "rep", "weight", "own_mark").join(merged, ["part", "rep"], "left")
+def _cells(column) -> tuple[np.ndarray, np.ndarray]:
+    """The listed cells of all rows, and the number of each row."""
+    return np.frombuffer(b"".join(column), np.uint16).astype(np.int64), np.array([len(b) // 2 for b in column], np.int64)
 
 
-def search(vectors: DataFrame, k: int, min_sim: float, probes: int = 16, whole_degree: bool = False, reach: float = REACH) -> DataFrame:
-    """For each distinct vector: ``part, rep, weight, own_mark, degree, affinity, least, mark, top`` of its neighbours with cosine from ``min_sim``.
+def _ask(index: Index, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each block in which a node probes cells; the first of them passes on what belongs to the node."""
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        cells, n = _cells(pdf["cells"])
+        who = np.repeat(np.arange(len(pdf)), n)
+        cuts = index.n_blocks[cells]
+        inner = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        who, cells = np.repeat(who, cuts), np.repeat(cells, cuts)
+        block = index.first_block[cells] + inner
+        order = np.lexsort((block, who))
+        who, cells, block = who[order], cells[order], block[order]
+        start = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (block[1:] != block[:-1])]))
+        ends = np.concatenate([start[1:], [len(who)]])
+        raw = cells.astype(np.uint16).tobytes()
+        row, at = who[start], block[start]
+        first = np.concatenate([[True], row[1:] != row[:-1]])
+        node = pdf["node"].to_numpy()[row]
+        pick = lambda c, null=None: np.where(first, pdf[c].to_numpy()[row], null)
+        members = pdf["members"].to_numpy()
+        yield pd.DataFrame({
+            "q_block": at.astype(np.int32), "q_qb": ((_mark(node) & 0xFFFF) % index.query_cuts[at]).astype(np.int32), "q_node": node, "q_part": pdf["part"].to_numpy()[row],
+            "q_rep": pd.array(pick("rep"), dtype="Int64"), "q_weight": pd.array(pick("weight"), dtype="Int64"), "q_members": [members[r] if f else None for r, f in zip(row, first)],
+            "q_blob": pdf["blob"].to_numpy()[row], "q_cells": [raw[2 * a : 2 * b] for a, b in zip(start.tolist(), ends.tolist())],
+        })
+
 
-    ``degree``, ``affinity`` (the sum of cosines) and ``mark`` (a hash of the set) cover all neighbours only with
-    ``whole_degree``; ``top`` has the k nearest as (sim, id). Vectors without a neighbour have nulls.
+ENCODED = (
+    "part string, rep long, members array<long>, firsts array<long>, weight long, cell int, block int, cuts int, cells binary, "
+    "code long, length double, align double, blob binary"
+)
+ASKED = "q_block int, q_qb int, q_node long, q_part string, q_rep long, q_weight long, q_members array<long>, q_blob binary, q_cells binary"
+FOUND = "node long, part string, rep long, weight long, members array<long>, degree long, affinity double, least long, least_rep long, mark long, own_mark long, ids array<long>, sims array<double>"
+
+
+class _Best:
+    """The k best (similarity, id) of each query so far, by similarity and then id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.sims, self.ids = k, np.full((queries, k), -9.0), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, qi: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
+        order = np.lexsort((ids, -sims, qi))
+        qi, sims, ids = qi[order], sims[order], ids[order]
+        at, start, n = np.unique(qi, return_index=True, return_counts=True)
+        rank = np.arange(len(qi)) - np.repeat(start, n)
+        row = np.repeat(np.arange(len(at)), n)
+        good = rank < self.k
+        s, i = np.full((len(at), self.k), -9.0), np.full((len(at), self.k), np.iinfo(np.int64).max)
+        s[row[good], rank[good]], i[row[good], rank[good]] = sims[good], ids[good]
+        s, i = np.concatenate([self.sims[at], s], axis=1), np.concatenate([self.ids[at], i], axis=1)
+        by = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.sims[at], self.ids[at] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
+
+
+def _search(index: Index, k: int, min_sim: float, graph: bool, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    if queries.empty:
+        return pd.DataFrame({c: [] for c in names})
+    n_q = len(queries)
+    qnode, own = queries["q_node"].to_numpy(np.int64), queries["q_rep"].notna().to_numpy()
+    best, floor = _Best(n_q, k), np.full(n_q, float(min_sim))
+    degree, affinity, mark = np.zeros(n_q, np.int64), np.zeros(n_q), np.zeros(n_q, np.int64)
+    least = np.full(n_q, -1)  # place in ``base``, which is ordered so that the smallest is the least
+    if len(base):
+        base = base.sort_values(["rep", "node"], kind="stable").reset_index(drop=True)
+        x, q = _unit(base["blob"]), _unit(queries["q_blob"])
+        node, rep, weight = (base[c].to_numpy(np.int64) for c in ("node", "rep", "weight"))
+        marks = _mark(node)
+        bits = np.unpackbits(base["code"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
+        length, align = base["length"].to_numpy(), np.maximum(base["align"].to_numpy(), 1e-6)
+        error = length * np.sqrt(np.maximum(0, 1 - align**2)) / align * EPSILON / np.sqrt(DIMS - 1) + 1e-6
+        signs = bits * (length / align / np.sqrt(DIMS))[:, None].astype(np.float32)
+        single, asking = x.astype(np.float32), q.astype(np.float32)
+        n_firsts = base["firsts"].map(len).to_numpy()
+        firsts, begin = np.concatenate(base["firsts"].tolist()).astype(np.int64), np.cumsum(n_firsts) - n_firsts
+        groups = base.groupby(["part", "cell"], sort=False).indices
+        cells, counts = _cells(queries["q_cells"])
+        wanted = pd.DataFrame({"qi": np.repeat(np.arange(n_q), counts), "cell": cells, "part": np.repeat(queries["q_part"].to_numpy(), counts)})
+        wanted["again"] = np.arange(len(wanted)) != np.repeat(np.cumsum(counts) - counts, counts)
+        # the nearest cell of each query goes first, as it sets the floor for the others
+        for (again, part, cell), who in wanted.groupby(["again", "part", "cell"])["qi"]:
+            mine = groups.get((part, cell))
+            if mine is None:
+                continue
+            centre = index.centroids[cell]
+            there = np.column_stack([signs[mine], error[mine], np.ones(len(mine)), x[mine] @ centre]).astype(np.float32)
+            who = who.to_numpy()
+            step = max(16, PAIRS // len(mine))
+            for lo in range(0, len(who), step):
+                qi = who[lo : lo + step]
+                rest = q[qi] - centre
+                far = np.linalg.norm(rest, axis=1)
+                here = np.column_stack([rest @ index.rotation, far, rest @ centre, np.ones(len(qi))]).astype(np.float32)
+                upper = here @ there.T
+                if not graph and not again and len(mine) > k:
+                    # the k-th largest lower bound: nothing whose upper bound is below it can be among the k
+                    lower = upper - (2 * far[:, None] * error[mine][None, :]).astype(np.float32)
+                    floor[qi] = np.maximum(floor[qi], np.partition(lower, -k, axis=1)[:, -k])
+                likely = upper >= floor[qi][:, None] - 1e-5
+                if np.count_nonzero(likely) > 0.02 * likely.size:
+                    # so many are cheaper to multiply at once; single precision leaves few open
+                    rough = asking[qi] @ single[mine].T
+                    least_sim = floor[qi]
+                    if not graph and len(mine) > k:
+                        least_sim = np.maximum(least_sim, np.partition(rough, -k, axis=1)[:, -k] - 1e-5)
+                    likely &= rough >= least_sim[:, None] - 1e-5
+                a, b = np.nonzero(likely)
+                if not len(a):
+                    continue
+                exact = np.round(np.clip(np.einsum("ij,ij->i", q[qi[a]], x[mine[b]]), -1, 1), 6)
+                good = exact >= floor[qi[a]]
+                if graph:
+                    good &= node[mine[b]] != qnode[qi[a]]
+                a, b, exact = qi[a[good]], mine[b[good]], exact[good]
+                if not len(a):
+                    continue
+                if graph:
+                    degree += np.bincount(a, weight[b], n_q).astype(np.int64)
+                    affinity += np.bincount(a, weight[b] * exact, n_q)
+                    np.add.at(mark, a, marks[b])
+                    low = np.full(n_q, len(node))
+                    np.minimum.at(low, a, b)
+                    least = np.where(low < len(node), np.where(least < 0, low, np.minimum(least, low)), least)
+                    best.add(a, exact, node[b])
+                else:
+                    n = n_firsts[b]
+                    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    best.add(np.repeat(a, n), np.repeat(exact, n), firsts[np.repeat(begin[b], n) + inner])
+                    floor[qi] = np.maximum(floor[qi], best.sims[qi, -1])
+    listed = best.sims > -2
+    show = np.flatnonzero(own | listed.any(axis=1))
+    n = listed[show].sum(axis=1)
+    return pd.DataFrame({
+        "node": qnode[show], "part": queries["q_part"].to_numpy()[show], "rep": queries["q_rep"].to_numpy()[show], "weight": queries["q_weight"].to_numpy()[show],
+        "members": queries["q_members"].to_numpy()[show], "degree": degree[show], "affinity": affinity[show],
+        "least": pd.array([node[j] if j >= 0 else None for j in least[show]], dtype="Int64"), "least_rep": pd.array([rep[j] if j >= 0 else None for j in least[show]], dtype="Int64"), "mark": mark[show], "own_mark": _mark(qnode[show]),
+        "ids": [best.ids[j, :c].tolist() for j, c in zip(show, n)], "sims": [best.sims[j, :c].tolist() for j, c in zip(show, n)],
+    })[names]
+
+
+def floats(blob: Column) -> Column:
+    """The vector of an encoded node."""
+    return F.pandas_udf(lambda column: column.map(lambda b: np.frombuffer(b, np.float32)), "array<float>")(blob)
+
+
+def distance(min_sim: float) -> float:
+    """The distance of two unit vectors of a cosine."""
+    return float(np.sqrt(max(0.0, 2 - 2 * min_sim)))
+
+
+def search(rows: DataFrame, k: int, min_sim: float, margin: float | None = None, graph: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``part, id, vec[, weight]``: what each node finds, and the encoded nodes.
+
+    A node is a set of copies (``members``, its smallest id ``rep``). ``top`` has its k best as (sim, id):
+    ids of rows, its own among them, or with ``graph`` other nodes. Only then ``degree``, ``affinity`` (the sum of
+    cosines), ``mark`` (a hash of the set of neighbours) and ``least`` cover all neighbours from ``min_sim``.
+    Without a ``min_sim`` every node has its k, as far as there are so many rows.
     """
-    spark = vectors.sparkSession
+    spark = rows.sparkSession
     ship(spark)
-    vectors = vectors.select("part", "rep", "weight", "vec")
-    width = reach * float(np.sqrt(2 - 2 * min_sim))
-    trained = spark.sparkContext.broadcast(train(vectors, vectors.count()))
-    encoded = cut(vectors.mapInPandas(lambda b: _encode(*trained.value, probes, width, b), ENCODED))
-    base_n = encoded.groupBy("part", "cell").agg(F.count("*").alias("n"))
-    asked = encoded.withColumn("asks", F.explode("probes")).withColumnRenamed("cell", "own")
-    asked_n = asked.groupBy("part", F.col("asks").alias("cell")).agg(F.count("*").alias("m"))
-    sizes = base_n.join(asked_n, ["part", "cell"]).select(
-        F.col("part").alias("s_part"), F.col("cell").alias("s_cell"), F.ceil(F.col("n") / BASE_BLOCK).alias("nb"), F.ceil(F.col("m") / QUERY_BLOCK).alias("nq")
-    )
-    mix = F.xxhash64("rep", F.lit(11))
-    on = lambda cell: (F.col("part") == F.col("s_part")) & (F.col(cell) == F.col("s_cell"))
-    base = encoded.join(sizes, on("cell")).withColumn("bb", F.pmod(mix, F.col("nb"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    queries = asked.join(sizes, on("asks")).withColumn("qb", F.pmod(mix, F.col("nq"))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    base = base.select("part", "cell", "bb", "qb", "rep", "weight", "own_mark", "code", "length", "align", "blob")
-    queries = queries.select(*[F.col(c).alias(f"q_{n}") for c, n in (("part", "part"), ("asks", "cell"), ("bb", "bb"), ("qb", "qb"), ("rep", "rep"), ("blob", "blob"))])
-    key = ["part", "cell", "bb", "qb"]
+    margin = distance(min_sim) if margin is None else margin
+    rows = rows.select("part", "id", "vec", (F.col("weight") if "weight" in rows.columns else F.lit(1)).cast("long").alias("weight"))
+    sent = spark.sparkContext.broadcast(train(rows, margin))
+    keep = 1 if graph else k
+    encoded = rows.mapInPandas(lambda b: _encode(sent.value, margin, keep, b), ENCODED)
+    encoded = cut(encoded.withColumn("node", F.monotonically_increasing_id()))
+    every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    base = encoded.select("block", every.alias("qb"), "node", "part", "rep", "weight", "firsts", "cell", "code", "length", "align", "blob")
 
     def pair(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return _search(*trained.value, k, min_sim, whole_degree, b, q)
-
-    found = base.groupBy(*key).cogroup(queries.groupBy(*[f"q_{c}" for c in key])).applyInPandas(pair, FOUND)
-    return _merged(encoded, found, k)
-
-
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            yield pd.DataFrame({"part": pdf["part"], "rep": pdf["rep"], "weight": pdf["weight"], "own_mark": _mark(pdf["rep"].to_numpy()), "blob": [np.asarray(v, np.float32).tobytes() for v in pdf["vec"]]})
-
-
-def _search_block(k: int, min_sim: float, whole_degree: bool, base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    if len(base) and len(queries):
-        x, q = _unit(base["blob"]), _unit(queries["q_blob"])
-        ids, weight, marks = (base[c].to_numpy(np.int64) for c in ("rep", "weight", "own_mark"))
-        qid = queries["q_rep"].to_numpy(np.int64)
-        single, chunk = x.astype(np.float32), max(16, PAIRS // len(x))
-        for lo in range(0, len(q), chunk):
-            part = q[lo : lo + chunk]
-            rough = part.astype(np.float32) @ single.T
-            floor = np.full(len(part), min_sim - SLACK)
-            if not whole_degree and len(ids) > k + 1:
-                # the (k+1)-th largest of some rows: nothing below it can be among the k of all rows
-                floor = np.maximum(floor, np.partition(rough[:, : max(SOME, k + 1)], -(k + 1), axis=1)[:, -(k + 1)] - 2 * SLACK)
-            qi, bi = np.nonzero(rough >= floor[:, None])
-            if len(qi) > 0.02 * rough.size:
-                exact = (part @ x.T)[qi, bi]
-            else:
-                exact = np.einsum("ij,ij->i", part[qi], x[bi])
-            rows += _listed(k, min_sim, lo, qid, ids, weight, marks, qi, bi, exact)
-    out = pd.DataFrame(rows, columns=["rep", "degree", "affinity", "least", "mark", "ids", "sims"])
-    out.insert(0, "part", base["part"].iloc[0] if len(base) else "")
-    return out
-
-
-def search_all(vectors: DataFrame, k: int, min_sim: float = -1.0, whole_degree: bool = False) -> DataFrame:
-    """As ``search``, but every vector meets every vector of its part, so nothing is missed at any ``min_sim``.
-
-    Blocks by hash are multiplied in single precision; what the rounding leaves open gets its exact cosine.
+        return _search(sent.value, k, min_sim, graph, b, q)
+
+    def run(nodes: DataFrame) -> DataFrame:
+        asked = nodes.select("node", "part", "rep", "weight", "members", "blob", "cells").mapInPandas(lambda b: _ask(sent.value, b), ASKED)
+        found = base.groupBy("block", "qb").cogroup(asked.groupBy("q_block", "q_qb")).applyInPandas(pair, FOUND)
+        first = lambda c: F.first(c, ignorenulls=True).alias(c)
+        low = F.min(F.when(F.col("least").isNotNull(), F.struct("least_rep", "least")))
+        merged = found.groupBy("node").agg(
+            first("part"), first("rep"), first("weight"), first("members"), F.sum("degree").alias("degree"), F.sum("affinity").alias("affinity"), F.sum("mark").alias("mark"), first("own_mark"), low.alias("low"),
+            F.flatten(F.collect_list(F.arrays_zip("sims", "ids"))).alias("all"),
+        )
+        top = F.slice(F.array_sort(F.transform("all", lambda p: F.struct((-p["sims"]).alias("minus"), p["ids"].alias("id")))), 1, k)
+        top = F.transform(top, lambda p: F.struct((-p["minus"]).alias("sim"), p["id"].alias("id")))
+        return merged.select("node", "part", "rep", "weight", "members", "degree", "affinity", F.col("low.least").alias("least"), F.col("low.least_rep").alias("least_rep"), "mark", "own_mark", top.alias("top"))
+
+    out = run(encoded)
+    if min_sim <= -1 and not graph:
+        # who found fewer than k in the cells it probed asks all cells
+        out = cut(out)
+        short = out.where(F.size("top") < k).select("node")
+        if not short.isEmpty():
+            cells = np.arange(len(sent.value.centroids), dtype=np.uint16).tobytes()
+            again = run(encoded.join(short, "node", "left_semi").withColumn("cells", F.lit(cells)))
+            out = out.join(short, "node", "left_anti").unionByName(again)
+    return out, encoded
+
+
+def floats(blob: Column) -> Column:
+    """The vector of an encoded node."""
+    return F.pandas_udf(lambda column: column.map(lambda b: np.frombuffer(b, np.float32)), "array<float>")(blob)
+
+
+def distance(min_sim: float) -> float:
+    """The distance of two unit vectors of a cosine."""
+    return float(np.sqrt(max(0.0, 2 - 2 * min_sim)))
+
+
+def search(rows: DataFrame, k: int, min_sim: float, margin: float | None = None, graph: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``part, id, vec[, weight]``: what each node finds, and the encoded nodes.
+
+    A node is a set of copies (``members``, its smallest id ``rep``). ``top`` has its k best as (sim, id):
+    ids of rows, its own among them, or with ``graph`` other nodes. Only then ``degree``, ``affinity`` (the sum of
+    cosines), ``mark`` (a hash of the set of neighbours) and ``least`` cover all neighbours from ``min_sim``.
+    Without a ``min_sim`` every node has its k, as far as there are so many rows.
     """
-    ship(vectors.sparkSession)
-    packed = cut(vectors.select("part", "rep", "weight", "vec").mapInPandas(_pack, "part string, rep long, weight long, own_mark long, blob binary"))
-    n = F.count("*")
-    sizes = packed.groupBy("part").agg(F.greatest(F.ceil(n / ALL_BLOCK), F.least(F.lit(6), F.ceil(n / BASE_BLOCK))).alias("nb"))
-    rows, every = packed.join(sizes, "part"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    at = lambda salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("nb"))
-    base = rows.select("part", at(11).alias("bb"), every.alias("qb"), "rep", "weight", "own_mark", "blob")
-    queries = rows.select(F.col("part").alias("q_part"), every.alias("q_bb"), at(12).alias("q_qb"), F.col("rep").alias("q_rep"), F.col("blob").alias("q_blob"))
+    spark = rows.sparkSession
+    ship(spark)
+    margin = distance(min_sim) if margin is None else margin
+    rows = rows.select("part", "id", "vec", (F.col("weight") if "weight" in rows.columns else F.lit(1)).cast("long").alias("weight"))
+    sent = spark.sparkContext.broadcast(train(rows, margin))
+    keep = 1 if graph else k
+    encoded = rows.mapInPandas(lambda b: _encode(sent.value, margin, keep, b), ENCODED)
+    encoded = cut(encoded.withColumn("node", F.monotonically_increasing_id()))
+    every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    base = encoded.select("block", every.alias("qb"), "node", "part", "rep", "weight", "firsts", "cell", "code", "length", "align", "blob")
+    asked = encoded.select("node", "part", "rep", "weight", "members", "blob", "cells").mapInPandas(lambda b: _ask(sent.value, b), ASKED)
 
     def pair(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return _search_block(k, min_sim, whole_degree, b, q)
+        return _search(sent.value, k, min_sim, graph, b, q)
 
-    found = base.groupBy("part", "bb", "qb").cogroup(queries.groupBy("q_part", "q_bb", "q_qb")).applyInPandas(pair, FOUND)
-    return _merged(packed, found, k)
+    found = base.groupBy("block", "qb").cogroup(asked.groupBy("q_block", "q_qb")).applyInPandas(pair, FOUND)
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    low = F.min(F.when(F.col("least").isNotNull(), F.struct("least_rep", "least")))
+    merged = found.groupBy("node").agg(
+        first("part"), first("rep"), first("weight"), first("members"), F.sum("degree").alias("degree"), F.sum("affinity").alias("affinity"), F.sum("mark").alias("mark"), first("own_mark"), low.alias("low"),
+        F.flatten(F.collect_list(F.arrays_zip("sims", "ids"))).alias("all"),
+    )
+    top = F.slice(F.array_sort(F.transform("all", lambda p: F.struct((-p["sims"]).alias("minus"), p["ids"].alias("id")))), 1, k)
+    top = F.transform(top, lambda p: F.struct((-p["minus"]).alias("sim"), p["id"].alias("id")))
+    out = merged.select("node", "part", "rep", "weight", "members", "degree", "affinity", F.col("low.least").alias("least"), F.col("low.least_rep").alias("least_rep"), "mark", "own_mark", top.alias("top"))
+    return out, encoded
 
 
-def knn(rows: DataFrame, k: int = 5, min_sim: float = -1.0, probes: int = 16, whole: bool = False) -> DataFrame:
+def knn(rows: DataFrame, k: int = 5, min_sim: float = -1.0, margin: float | None = NEAR_MARGIN, exact: bool = False) -> DataFrame:
     """For each row of ``id, vec`` its k most similar other rows: ``id, neighbour, sim, rank``.
 
-    Cells find what is near, from a cosine of about 0.8; with ``whole`` all vectors are compared, as a lower ``min_sim`` needs.
+    ``margin`` says which cells are probed; with ``exact`` no cell is left out that could hold a neighbour from ``min_sim``.
     """
     rows = rows.select(F.lit("").alias("part"), "id", "vec").where("id IS NOT NULL").where(usable(F.col("vec")))
-    vectors, _ = collapse(rows, k + 1)
-    vectors = cut(vectors)
-    found = search_all(vectors, k + 1, min_sim) if whole else search(vectors, k + 1, min_sim, probes)
-    firsts = vectors.select("rep", "firsts")
-    own = firsts.select("rep", F.lit(1.0).alias("sim"), "firsts")
-    other = found.select("rep", F.explode("top").alias("t")).select("rep", "t.sim", F.col("t.id").alias("other"))
-    other = other.join(firsts.select(F.col("rep").alias("other"), "firsts"), "other").select("rep", "sim", "firsts")
-    listed = own.unionByName(other).select("rep", "sim", F.explode("firsts").alias("neighbour"))
-    listed = listed.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("minus"), "neighbour"))).alias("near"))
-    listed = listed.select("rep", F.slice("near", 1, k + 1).alias("near"))
-    # every row of a vector takes the vector's list without itself
-    members = rows.join(vectors.select("vec", "rep"), "vec").select("id", "rep").join(listed, "rep")
-    near = F.slice(F.filter("near", lambda p: p["neighbour"] != F.col("id")), 1, k)
-    out = members.select("id", F.posexplode(near).alias("pos", "p")).select("id", F.col("p.neighbour").alias("neighbour"), (-F.col("p.minus")).alias("sim"), (F.col("pos") + 1).alias("rank"))
-    return out.where(F.col("sim") >= min_sim)
+    found, _ = search(rows, k + 1, min_sim, None if exact else margin)
+    near = F.slice(F.filter("top", lambda p: p["id"] != F.col("id")), 1, k)
+    out = found.select(F.explode("members").alias("id"), "top").select("id", F.posexplode(near).alias("pos", "p"))
+    return out.select("id", F.col("p.id").alias("neighbour"), F.col("p.sim").alias("sim"), (F.col("pos") + 1).alias("rank"))

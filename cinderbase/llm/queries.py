@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar other memories of every memory, however far they are, with their similarity."""
-    near = neighbours.knn(_vectors(spark, sf_dir), k=5, whole=True)
+    near = neighbours.knn(_vectors(spark, sf_dir), k=5, margin=neighbours.FAR_MARGIN)
     return near.select(F.col("id").alias("ingest_seq"), F.col("neighbour").alias("neighbour_seq"), F.col("sim").alias("cosine"), "rank")
 
 

@@ -1,17 +1,19 @@
 """Clusters of mutually similar records by power-iteration spectral clustering.
 
-1. Sparse affinities: a search among all vectors of the category gives each vector its nearest
-   neighbours with cosine from ``min_sim``, the smallest id among all of them, their number and the
-   sum of their cosines. Pairs within a cluster are never emitted; the smallest neighbour keeps a
-   cluster connected.
-2. Power iteration: ``VECTORS`` start vectors (a keyed draw per smallest id of a neighbourhood) are
-   multiplied ``ITERATIONS`` times with the row-normalised affinities.
-3. k-means on the embedding: seeds are the occupied cells of a fine grid, points go to the nearest
-   centre of their own and adjacent grid cells, centres are means.
-4. Exact check: members of a cluster that share their smallest id form a group if the neighbours of
-   each are exactly the others. What fails the check (overlapping or chained groups) is split exactly:
-   vectors that have the same neighbours count as one, then the edges are emitted, the components
-   found by label propagation and the maximal sets listed.
+1. Sparse affinities: each vector's nearest neighbours with cosine from ``min_sim``, and a link to the
+   neighbour with the smallest id, which keeps a cluster connected. The search leaves out no cell that
+   could hold a neighbour, and also gives the number of all neighbours, the sum of their cosines and a
+   hash of their set. Pairs within a cluster are never emitted.
+2. Power iteration: ``VECTORS`` start vectors, drawn at random for every record, are multiplied
+   ``ITERATIONS`` times with the row-normalised affinities. Records of one cluster approach one point of
+   the embedding, each cluster a point of its own.
+3. k-means on the embedding: seeds are the records without a smaller neighbour; points go to the nearest
+   centre, looked up in a grid, and centres are means.
+4. Exact check: the records of a k-means cluster that have no smaller neighbour outside it form a group if
+   the neighbours of each are exactly the others. What fails the check (overlapping or chained groups, or a
+   cluster the embedding did not separate) is repaired: vectors that have the same neighbours count as one,
+   then the edges are emitted, the components found by label propagation and the maximal sets listed.
+   ``route`` says of each row which way it came.
 
 Members are ranked by their internal affinity, the sum of their cosines to the others.
 
@@ -29,7 +31,10 @@ from pyspark.sql import functions as F
 from cinderbase.llm import neighbours
 from cinderbase.session import cut
 
-VECTORS, ITERATIONS, ROUNDS, GRID, TOP = 3, 4, 2, 1e-3, 8
+VECTORS, ITERATIONS, ROUNDS, NEAREST = 6, 10, 2, 8
+#: Side of a grid cell, and how many coordinates have one; a point looks for centres in its own and adjacent cells.
+GRID, GRID_COORDINATES = 0.03, 3
+NAMES = [f"e{v}" for v in range(VECTORS)]
 
 
 def fading(memories: DataFrame, below: float = 0.20) -> DataFrame:
@@ -39,44 +44,43 @@ def fading(memories: DataFrame, below: float = 0.20) -> DataFrame:
 
 
 def affinities(found: DataFrame) -> DataFrame:
-    """Symmetric sparse affinities ``part, i, j, w`` with a loop of weight 1 at each vector."""
-    top = found.select("part", F.col("rep").alias("i"), F.explode("top").alias("t")).select("part", "i", F.col("t.id").alias("j"), F.col("t.sim").alias("w"))
-    least = found.where("least IS NOT NULL").select("part", F.col("rep").alias("i"), F.col("least").alias("j"), F.lit(None).cast("double").alias("w"))
+    """Symmetric sparse affinities ``i, j, w`` with a loop of weight 1 at each node."""
+    top = found.select(F.col("node").alias("i"), F.explode("top").alias("t")).select("i", F.col("t.id").alias("j"), F.col("t.sim").alias("w"))
+    least = found.where("least IS NOT NULL").select(F.col("node").alias("i"), F.col("least").alias("j"), F.lit(None).cast("double").alias("w"))
     one = top.unionByName(least)
-    both = one.unionByName(one.select("part", F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    both = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     # the smallest neighbour's cosine is known only if it is among the nearest; its link counts as the weakest possible
-    edges = both.groupBy("part", "i", "j").agg(F.coalesce(F.max("w"), F.lit(0.8)).alias("w"))
-    return edges.unionByName(found.select("part", F.col("rep").alias("i"), F.col("rep").alias("j"), F.lit(1.0).alias("w")))
-
-
-def embed(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """The embedding ``part, rep, label, e1..eN`` after the power iterations."""
-    label = F.least("rep", F.coalesce("least", "rep"))
-    draw = [(F.pmod(F.xxhash64(label, F.lit(v)), F.lit(1_000_003)) / F.lit(1_000_003.0)).alias(f"e{v}") for v in range(VECTORS)]
-    state = found.select("part", "rep", *draw)
-    names = [f"e{v}" for v in range(VECTORS)]
-    for _ in range(ITERATIONS):
-        spread = edges.join(state.select("part", F.col("rep").alias("j"), *names), ["part", "j"])
-        state = spread.groupBy("part", F.col("i").alias("rep")).agg(*[(F.sum(F.col("w") * F.col(e)) / F.sum("w")).alias(e) for e in names])
-    return cut(state)
-
-
-def kmeans(points: DataFrame) -> DataFrame:
-    """Assign each point to a centre: ``part, rep, centre``."""
-    names = [f"e{v}" for v in range(VECTORS)]
-    cells = [F.round(F.col(e) / GRID).alias(f"g{v}") for v, e in enumerate(names)]
-    centres = points.groupBy("part", *cells).agg(*[F.avg(e).alias(f"c_{e}") for e in names])
-    grid = F.floor(F.col("e0") / GRID)
-    assigned = points
-    for _ in range(ROUNDS):
-        centres = centres.withColumn("centre", F.xxhash64(*[f"c_{e}" for e in names]))
-        near = centres.select("part", "centre", *[f"c_{e}" for e in names], F.explode(F.array(*[F.floor(F.col("c_e0") / GRID) + d for d in (-1, 0, 1)])).alias("g"))
-        pairs = points.withColumn("g", grid).join(near, ["part", "g"])
-        dist = sum((F.col(e) - F.col(f"c_{e}")) ** 2 for e in names)
-        best = pairs.groupBy("part", "rep").agg(F.min(F.struct(dist.alias("d"), F.col("centre"))).alias("b"), *[F.first(e).alias(e) for e in names])
-        assigned = best.select("part", "rep", F.col("b.centre").alias("centre"), *names)
-        centres = assigned.groupBy("part", "centre").agg(*[F.avg(e).alias(f"c_{e}") for e in names]).drop("centre")
-    return assigned.select("part", "rep", "centre")
+    edges = both.groupBy("i", "j").agg(F.coalesce(F.max("w"), F.lit(0.8)).alias("w"))
+    return edges.unionByName(found.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("w")))
+
+
+def embed(found: DataFrame, edges: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+    """The embedding ``node, e0..eN`` after the power iterations."""
+    draw = [(F.pmod(F.xxhash64("node", F.lit(v)), F.lit(1_000_003)) / F.lit(1_000_003.0)).alias(e) for v, e in enumerate(NAMES)]
+    state = found.select("node", *draw)
+    for _ in range(iterations):
+        spread = edges.join(state.withColumnRenamed("node", "j"), "j")
+        state = spread.groupBy(F.col("i").alias("node")).agg(*[(F.sum(F.col("w") * F.col(e)) / F.sum("w")).alias(e) for e in NAMES])
+    return state
+
+
+def kmeans(points: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Assign each of the points ``part, node, seed, e0..eN`` to a centre; seeds are the points so marked: ``node, centre``."""
+    grid = [F.floor(F.col(e) / GRID) for e in NAMES[:GRID_COORDINATES]]
+    cells = [f"g{v}" for v in range(GRID_COORDINATES)]
+    centres = points.where("seed").select("part", F.col("node").alias("centre"), *[F.col(e).alias(f"c_{e}") for e in NAMES])
+    assigned = None
+    for k in range(rounds):
+        near = centres
+        for cell, e in zip(cells, NAMES):
+            near = near.withColumn(cell, F.explode(F.array(*[F.floor(F.col(f"c_{e}") / GRID) + d for d in (-1, 0, 1)])))
+        dist = sum((F.col(e) - F.col(f"c_{e}")) ** 2 for e in NAMES)
+        pairs = points.withColumns(dict(zip(cells, grid))).join(near, ["part", *cells])
+        best = F.min_by(F.struct("centre", "part", *NAMES), F.struct(dist.alias("d"), F.col("centre"))).alias("b")
+        assigned = pairs.groupBy("node").agg(best).select("node", "b.*")
+        if k + 1 < rounds:
+            centres = assigned.groupBy("part", "centre").agg(*[F.avg(e).alias(f"c_{e}") for e in NAMES])
+    return assigned.select("node", "centre")
 
 
 def _maximal_sets(adjacent: dict[int, set[int]]) -> list[set[int]]:
@@ -111,60 +115,63 @@ def _split(min_size: int):
 
 
 def exact_rest(rest: DataFrame, min_sim: float, min_size: int) -> DataFrame:
-    """Maximal groups among the vectors that failed the check, from all their edges."""
-    found = neighbours.search_all(rest, k=1 << 30, min_sim=min_sim, whole_degree=True)
-    js = F.coalesce(F.transform("top", lambda t: t["id"]), F.array().cast("array<long>"))
-    found = cut(found.select("part", "rep", "weight", js.alias("js")))
-    edges = found.select("part", "rep", F.explode("js").alias("j"))
-    labels = found.select("part", "rep", F.col("rep").alias("label"))
+    """Maximal groups ``part, rep, group_seq`` among the vectors ``part, id, vec, weight`` that failed the check, from all their edges."""
+    found, _ = neighbours.search(rest, 1, min_sim, graph=True)
+    most = found.agg(F.max("degree")).first()[0] or 0
+    found, _ = neighbours.search(rest, max(1, int(most)), min_sim, graph=True)
+    found = cut(found.select("part", "node", "rep", "weight", F.transform("top", lambda t: t["id"]).alias("js")))
+    edges = found.select("node", F.explode("js").alias("j"))
+    labels = found.select("node", F.col("rep").alias("label"))
     while True:
-        sent = edges.join(labels.select("part", F.col("rep").alias("j"), F.col("label").alias("other")), ["part", "j"])
-        low = sent.groupBy("part", "rep").agg(F.min("other").alias("other"))
-        new = cut(labels.join(low, ["part", "rep"], "left").select("part", "rep", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("moved")))
-        labels = new.select("part", "rep", "label")
+        low = edges.join(labels.select(F.col("node").alias("j"), F.col("label").alias("other")), "j").groupBy("node").agg(F.min("other").alias("other"))
+        new = cut(labels.join(low, "node", "left").select("node", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("moved")))
+        labels = new.select("node", "label")
         if new.where("moved").isEmpty():
             break
-    return found.join(labels, ["part", "rep"]).groupBy("part", "label").applyInPandas(_split(min_size), "part string, rep long, group_seq long")
+    listed = edges.join(found.select(F.col("node").alias("j"), F.col("rep").alias("jr")), "j").groupBy("node").agg(F.collect_list("jr").alias("js"))
+    rows = found.drop("js").join(listed, "node", "left").join(labels, "node").withColumn("js", F.coalesce("js", F.array().cast("array<long>")))
+    return rows.groupBy("part", "label").applyInPandas(_split(min_size), "part string, rep long, group_seq long")
 
 
-def cluster(memories: DataFrame, min_sim: float = 0.80, min_size: int = 3, below: float = 0.20, probes: int = 16, reach: float = neighbours.REACH) -> DataFrame:
-    """One row per member: ``category, group_seq, ingest_seq, affinity, group_size``.
+def cluster(memories: DataFrame, min_sim: float = 0.80, min_size: int = 3, below: float = 0.20, iterations: int = ITERATIONS, repair: bool = True) -> DataFrame:
+    """One row per member: ``category, group_seq, ingest_seq, affinity, group_size, route``.
 
-    All vectors of a category are compared, as the check needs every neighbour; ``probes`` and ``reach`` of the
-    search in cells are accepted and have no effect.
+    ``route`` is ``spectral`` where the k-means cluster passed the check, ``split`` where it was repaired;
+    without ``repair`` the clusters that fail the check are left out.
     """
     rows = fading(memories, below)
-    vectors, _ = neighbours.collapse(rows, 1)
-    vectors = cut(vectors)
-    found = cut(neighbours.search_all(vectors, TOP, min_sim, whole_degree=True))
+    found, encoded = neighbours.search(rows, NEAREST, min_sim, graph=True)
+    found = cut(found.withColumn("least_rep", F.least("rep", F.coalesce("least_rep", "rep"))))
     # a vector without neighbours is in a group only as a set of copies; the iteration skips it
     linked = found.where("least IS NOT NULL")
-    placed = kmeans(embed(linked, affinities(linked)))
-    label = F.least("rep", F.coalesce("least", "rep"))
-    checked = linked.join(placed, ["part", "rep"]).withColumn("label", label)
-    checked = checked.unionByName(found.where("least IS NULL").withColumn("centre", F.col("rep")).withColumn("label", label))
-    closed = F.coalesce("mark", F.lit(0)) + F.col("own_mark")
-    totals = checked.groupBy("part", "centre", "label").agg(F.sum("weight").alias("size"), F.sum("own_mark").alias("set_mark"), F.min(closed).alias("low"), F.max(closed).alias("high"))
+    points = embed(linked, affinities(linked), iterations).join(linked.select("node", "part", (F.col("least_rep") == F.col("rep")).alias("seed")), "node")
+    placed = kmeans(cut(points))
+    checked = linked.join(placed, "node", "left").withColumn("centre", F.coalesce("centre", "node"))
+    checked = checked.unionByName(found.where("least IS NULL").withColumn("centre", F.col("node")))
+    closed = F.col("mark") + F.col("own_mark")
+    totals = checked.groupBy("centre").agg(
+        F.sum("weight").alias("size"), F.sum("own_mark").alias("set_mark"), F.min("rep").alias("group_seq"), F.min("least_rep").alias("low_rep"), F.min(closed).alias("low"), F.max(closed).alias("high")
+    )
     # the marks agree only if every member's neighbours and itself are exactly the group
-    whole = (F.col("low") == F.col("set_mark")) & (F.col("high") == F.col("set_mark"))
-    checked = cut(checked.join(totals, ["part", "centre", "label"]).withColumn("whole", whole))
-    groups = checked.where(F.col("whole") & (F.col("size") >= min_size)).select("part", "rep", F.col("label").alias("group_seq"))
+    whole = (F.col("low") == F.col("set_mark")) & (F.col("high") == F.col("set_mark")) & (F.col("low_rep") == F.col("group_seq"))
+    checked = cut(checked.join(totals, "centre").withColumn("whole", whole))
+    groups = checked.where(F.col("whole") & (F.col("size") >= min_size)).select("node", "group_seq", F.lit("spectral").alias("route"))
     failed = checked.where("NOT whole")
-    if not failed.isEmpty():
+    if repair and not failed.isEmpty():
         # vectors with the same neighbours and themselves are in the same groups: one of them stands for all
-        alike = ["part", "label", "closed", "closed_n"]
-        failed = failed.withColumns({"closed": closed, "closed_n": F.coalesce("degree", F.lit(0)) + F.col("weight")})
-        first = cut(failed.groupBy(*alike).agg(F.min("rep").alias("first"), F.sum("weight").alias("weight")))
-        rest = vectors.select("part", "rep", "vec").join(first.select("part", F.col("first").alias("rep"), "weight"), ["part", "rep"])
-        split = exact_rest(rest, min_sim, min_size).withColumnRenamed("rep", "first")
-        groups = groups.unionByName(split.join(failed.select("rep", *alike).join(first.drop("weight"), alike).select("part", "first", "rep"), ["part", "first"]).select("part", "rep", "group_seq"))
-    sizes = groups.join(checked.select("part", "rep", "weight", F.coalesce("affinity", F.lit(0.0)).alias("affinity")), ["part", "rep"])
+        alike = ["part", "least_rep", "closed", "closed_n"]
+        failed = failed.withColumns({"closed": closed, "closed_n": F.col("degree") + F.col("weight")})
+        first = cut(failed.groupBy(*alike).agg(F.min(F.struct("rep", "node")).alias("f"), F.sum("weight").alias("weight")))
+        vec = encoded.select("node", "blob").join(first.select(F.col("f.node").alias("node"), "part", F.col("f.rep").alias("id"), "weight"), "node")
+        rest = vec.select("part", "id", "weight", neighbours.floats(F.col("blob")).alias("vec"))
+        split = exact_rest(rest, min_sim, min_size).select("part", F.col("rep").alias("id"), "group_seq")
+        names = first.select("part", F.col("f.rep").alias("id"), "least_rep", "closed", "closed_n")
+        back = failed.select("node", *alike).join(names, alike).select("node", "part", "id")
+        groups = groups.unionByName(back.join(split, ["part", "id"]).select("node", "group_seq", F.lit("split").alias("route")))
+    sizes = groups.join(checked.select("node", "part", "weight", "affinity", "members"), "node")
     size = sizes.groupBy("part", "group_seq").agg(F.sum("weight").alias("group_size"))
-    members = rows.join(vectors.select("part", "vec", "rep"), ["part", "vec"]).select("part", "rep", "id")
-    return (
-        members.join(sizes, ["part", "rep"])
-        .join(size, ["part", "group_seq"])
-        .select(F.col("part").alias("category"), "group_seq", F.col("id").alias("ingest_seq"), (F.col("affinity") + F.col("weight") - 1).alias("affinity"), "group_size")
+    return sizes.join(size, ["part", "group_seq"]).select(
+        F.col("part").alias("category"), "group_seq", F.explode("members").alias("ingest_seq"), (F.col("affinity") + F.col("weight") - 1).alias("affinity"), "group_size", "route"
     )
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ def test_hot_copies_are_not_paired(spark):
     x = rng.standard_normal((60, 64)).astype(np.float32)
     x = np.concatenate([np.repeat(x[:1], 3000, axis=0), x[1:]])
     df = frame(spark, x).select(F.col("ingest_seq").alias("id"), F.col("embedding").alias("vec"))
-    vectors, _ = neighbours.collapse(df.select(F.lit("").alias("part"), "id", "vec"), 6)
-    assert vectors.count() == 60
+    nodes = pd.concat(neighbours._encode(neighbours.train(df.withColumn("part", F.lit("")), 0.2), 0.2, 6, [df.withColumns({"part": F.lit(""), "weight": F.lit(1)}).toPandas()]))
+    assert len(nodes) == 60 and nodes["weight"].sum() == 3059
     got = neighbours.knn(df, 5, 0.85)
     assert got.count() == 3000 * 5
     assert {r["neighbour"] for r in got.where("id = 2999").collect()} == {0, 1, 2, 3, 4} and {r["neighbour"] for r in got.where("id = 2").collect()} == {0, 1, 3, 4, 5}
@@ -70,7 +71,7 @@ def test_groups_against_brute_force(spark, spread):
     """At the wide spread groups overlap, so the exact splitting is used."""
     x = clouds(3, 6, 9, 40, spread)
     cats = [[" A", "a", "b"][i % 3] for i in range(len(x))]
-    got = {(r["ingest_seq"], r["group_seq"]) for r in spectral.cluster(frame(spark, x, cats), probes=64, reach=9.0).collect()}
+    got = {(r["ingest_seq"], r["group_seq"]) for r in spectral.cluster(frame(spark, x, cats)).collect()}
     _, s = brute(x, 5, 0.8)
     want = set()
     for c in ("a", "b"):
@@ -89,3 +90,36 @@ def test_copies_count_as_members(spark):
     assert [(r["group_size"], r["typical"], r["category_as_stored"]) for r in d] == [(4, [0, 1, 2, 3], "a")]
     rows = df.withColumn("retention", F.when(F.col("ingest_seq") > 1, 0.5).otherwise(0.1))
     assert spectral.cluster(rows).count() == 0
+
+
+def test_recall_without_a_floor(spark):
+    """With the margin for far neighbours at least 0.9 of all wanted pairs are found, with no margin all of them."""
+    x = clouds(7, 20, 30, 1500, spread=0.3)
+    df = frame(spark, x).select(F.col("ingest_seq").alias("id"), F.col("embedding").alias("vec"))
+    want, _ = brute(x, 5, -1)
+    got = {(r["id"], r["neighbour"]) for r in neighbours.knn(df, 5, margin=neighbours.FAR_MARGIN).collect()}
+    assert len(got) == len(want) and len(want & got) / len(want) >= 0.9
+    exact = {(r["id"], r["neighbour"]) for r in neighbours.knn(df, 5, exact=True).collect()}
+    assert len(want & exact) / len(want) >= 0.999
+
+
+def test_the_embedding_makes_the_groups(spark):
+    """Without the power iteration or the k-means no group passes the check; with them all do, unrepaired."""
+    x = clouds(8, 12, 9, 40, 0.2)
+    df = frame(spark, x)
+    whole = {(r["ingest_seq"], r["group_seq"]) for r in spectral.cluster(df).collect()}
+    made = {(r["ingest_seq"], r["group_seq"]) for r in spectral.cluster(df, repair=False).collect()}
+    assert made == whole and len(made) == 12 * 9
+    assert spectral.cluster(df, iterations=0, repair=False).count() < len(made) / 2
+
+
+def test_a_cell_larger_than_a_block(spark, monkeypatch):
+    for name, n in (("BLOCK", 64), ("SMALL_BLOCK", 16), ("QUERY_BLOCK", 100), ("PAIRS", 1000)):
+        monkeypatch.setattr(neighbours, name, n)
+    x = clouds(9, 3, 150, 50, spread=0.01)
+    index = neighbours._train(len(x), 0.2, pd.DataFrame({"vec": list(x)}))
+    assert index.n_blocks.sum() > 3 and index.query_cuts.max() > 1
+    df = frame(spark, x).select(F.col("ingest_seq").alias("id"), F.col("embedding").alias("vec"))
+    want, _ = brute(x, 5, 0.85)
+    got = {(r["id"], r["neighbour"]) for r in neighbours.knn(df, 5, 0.85, exact=True).collect()}
+    assert len(want & got) / len(want) >= 0.999
