@@ -14,6 +14,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("entity_kind", "key_a", "key_b", "event_no")
 
 
+ROW = ("user_id", "writer", "importance", "stability", "strength")
+
+
+def p5_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each memory and link that exists, with its last written row."""
+    return changefeed.apply_feed(table(spark, sf_dir, "memory_log"), ROW)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = timestamps.normalise(table(spark, sf_dir, "memories"), table(spark, sf_dir, "client_apps"))
     return found.where("utc_micros IS NOT NULL").select("ingest_seq", "field_name", "utc_micros")
@@ -30,20 +38,21 @@ def p4_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_notations": p4_notations, "p5_found": p5_found}
+    return {"p4_found": p4_found, "p4_notations": p4_notations, "p5_found": p5_found, "p5_state": p5_state}
 
 
 P5_SQL = r"""
 WITH c AS (
   SELECT regexp_replace(lower(event_type), '[^a-z]', '', 'g') AS k, event_no, at_ms, writer_seq,
          nullif(lower(trim(memory_id, E' \t\n\r')), '') AS m, nullif(lower(trim(link_a, E' \t\n\r')), '') AS a,
-         nullif(lower(trim(link_b, E' \t\n\r')), '') AS b
+         nullif(lower(trim(link_b, E' \t\n\r')), '') AS b,
+         user_id, writer, importance, stability, strength
   FROM memory_log),
 e AS (
   SELECT CASE WHEN k LIKE 'link%' THEN 'link' ELSE 'memory' END AS entity_kind,
          CASE WHEN k LIKE 'link%' THEN least(a, b) ELSE m END AS key_a,
          CASE WHEN k LIKE 'link%' THEN greatest(a, b) ELSE '' END AS key_b,
-         k LIKE '%delete' AS gone, event_no, at_ms, writer_seq
+         k LIKE '%delete' AS gone, event_no, at_ms, writer_seq, user_id, writer, importance, stability, strength
   FROM c WHERE (k IN ('memory', 'memorydelete') AND m IS NOT NULL) OR (k IN ('link', 'linkdelete') AND a IS NOT NULL AND b IS NOT NULL)),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY entity_kind, key_a, key_b
@@ -53,4 +62,5 @@ SELECT entity_kind, key_a, key_b, event_no FROM r WHERE rn = 1 AND NOT gone
 
 
 def oracle_sql() -> dict:
-    return {"p5_found": P5_SQL}
+    row = "SELECT entity_kind, key_a, key_b, at_ms, writer_seq, event_no, user_id, writer, importance, stability, strength FROM r"
+    return {"p5_found": P5_SQL, "p5_state": P5_SQL.replace("SELECT entity_kind, key_a, key_b, event_no FROM r", row)}

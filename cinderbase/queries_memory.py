@@ -13,6 +13,7 @@ from cinderbase.functions import decay, text, vector
 from cinderbase.operators import changefeed, graph, lexical, mutate, similarity, statistics
 from cinderbase.plans import ingest, maintain, search
 from cinderbase.providers import SeededEmbedder, embed, fixed_reply
+from cinderbase.queries_general import P5_SQL
 from cinderbase.session import scratch, table
 from cinderbase.sources import store
 from cinderbase.streaming import boosts
@@ -232,10 +233,9 @@ def jsonl_replay(s, d):
 def jsonl_compact(s, d):
     """A snapshot of the live rows in place of the log: written as a run, then read for the counts."""
     log = changefeed.canonical_changes(table(s, d, "memory_log").withColumns({"at_ms": F.col("log_line"), "writer_seq": F.lit(0).cast("long")})).where("entity_kind = 'memory'")
-    path, target = scratch(s, "log"), scratch(s, "log-compacted")
-    changefeed.append_run(log, path, 0)
-    changefeed.compact(s, path, target)
-    kept = s.read.parquet(target).agg(F.count("*").alias("kept"))
+    runs = changefeed.new_store(s)
+    changefeed.append_run(log, runs, 0)
+    kept = s.table(changefeed.compact(s, runs)).agg(F.count("*").alias("kept"))
     return kept.crossJoin(log.agg(F.count("*").alias("n"))).select("kept", (F.col("n") - F.col("kept")).alias("dropped"))
 
 
@@ -822,15 +822,15 @@ def _stream(s, d, name):
     return s.readStream.schema(whole.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/{name}*.parquet" if one else f"{d}/{name}.parquet")
 
 
-@q("stream_changes")
+@q("stream_changes", P5_SQL.replace("SELECT entity_kind, key_a, key_b, event_no FROM r WHERE rn = 1 AND NOT gone", "SELECT entity_kind, count(*) AS n FROM r WHERE rn = 1 AND NOT gone GROUP BY entity_kind"))
 def stream_changes(s, d):
     """The change log as a stream: micro-batches become runs, the state is merged on read."""
-    path = scratch(s, "stream-runs")
-    boosts.stream_changes(s, _stream(s, d, "memory_log"), path, scratch(s, "stream-checkpoint")).awaitTermination()
-    return changefeed.merge_runs(s, path).groupBy("entity_kind").agg(F.count("*").alias("n"))
+    runs = changefeed.new_store(s)
+    boosts.stream_changes(s, _stream(s, d, "memory_log"), runs, scratch(s, "stream-checkpoint")).awaitTermination()
+    return changefeed.merge_runs(s, runs).groupBy("entity_kind").agg(F.count("*").alias("n"))
 
 
-@q("stream_boost")
+@q("stream_boost", SQL["boost_replay"])
 def stream_boost(s, d):
     """Stability per memory after an access stream: micro-batches are appended, the accesses are replayed on read."""
     path = scratch(s, "stream-accesses")

@@ -44,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         if current.isDefined():
             return current.get()
+        if not ctx.master.startswith("local") or ctx.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="cinderbase-")
     if not current.isDefined():
         ctx.setCheckpointDir(named)
@@ -66,8 +68,28 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+_TABLES: dict[str, list[str]] = {}
+
+
+def new_table(spark: SparkSession, label: str) -> str:
+    """A fresh name of a catalog table whose files are in the shared folder; it stays until ``clear_scratch``."""
+    name = f"cinderbase_{label}_{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return name
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    known = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    if path not in known:
+        known.append(path)
+    return path
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the written tables of this application; call it when their results have been consumed."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     for p in paths:

@@ -14,15 +14,15 @@ from pyspark.sql.streaming.query import StreamingQuery
 from cinderbase.operators import changefeed
 
 
-def stream_changes(spark: SparkSession, source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch of a change feed as a run; ``changefeed.merge_runs`` reads the state.
+def stream_changes(spark: SparkSession, source: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Append each micro-batch of a change feed as a run of a store; ``changefeed.merge_runs`` reads the state.
 
     A batch that is delivered again after a failure writes the same changes once more, which the merge
     folds away, so the state is exact without transactions.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        changefeed.append_run(changefeed.canonical_changes(batch), path, int(batch_id))
+        changefeed.append_run(changefeed.canonical_changes(batch), store, int(batch_id))
 
     return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

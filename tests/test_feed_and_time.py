@@ -53,16 +53,23 @@ def test_feed_empty_payload_and_runs(spark, tmp_path):
     got = changefeed.apply_feed(df, payload=("run",)).collect()
     assert [(r["event_no"], r["run"]) for r in got] == [(3, "again")]
     changes = changefeed.canonical_changes(df)
-    path = str(tmp_path / "runs")
+    store = changefeed.new_store(spark)
     for k, pick in enumerate((2, 0, 1)):  # out of order
-        changefeed.append_run(changefeed.canonical_changes(df.where(f"log_line = {pick}")), path, k)
-    assert changefeed.merge_runs(spark, path).count() == 1 and changes.count() == 3
-    partial = str(tmp_path / "partial")
-    changefeed.append_run(changefeed.canonical_changes(df.where("log_line < 2")), str(tmp_path / "p"), 0)
-    changefeed.compact(spark, str(tmp_path / "p"), partial, full=False)
+        changefeed.append_run(changefeed.canonical_changes(df.where(f"log_line = {pick}")), store, k)
+    assert changefeed.merge_runs(spark, store).count() == 1 and changes.count() == 3
+    other = changefeed.new_store(spark)
+    changefeed.append_run(changefeed.canonical_changes(df.where("log_line < 2")), other, 0)
+    partial = changefeed.compact(spark, other, full=False)
     assert changefeed.merge_runs(spark, partial, keep_tombstones=True).count() == 1 and changefeed.merge_runs(spark, partial).count() == 0
 
 
+def test_runs_are_merged_without_a_shuffle(spark, data):
+    from cinderbase.session import table
+
+    plan = changefeed.apply_feed(table(spark, data, "memory_log"), run_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
 def us(*a):
     return int(datetime(*a, tzinfo=UTC).timestamp() * 1_000_000)
 
