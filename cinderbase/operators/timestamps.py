@@ -74,7 +74,8 @@ NUMBER = re.compile(r"(\d+)(?:\.(\d+))?")
 EPOCH = datetime(1970, 1, 1)
 LOW_US, HIGH_US = 946_684_800_000_000, 4_102_444_800_000_000
 
-DECLARED_COST, SECOND_COST, SWITCH_COST, BACK_COST = 1000.0, 1000.0, 1.0, 0.01
+#: A reading against the declared order; the second of two instants; a switch of the order; a jump back in time.
+DECLARED_COST, SECOND_COST, SWITCH_COST, BACK_COST = 3.0, 0.1, 1.0, 0.01
 
 
 @lru_cache(maxsize=4096)
@@ -274,8 +275,11 @@ def _solve(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
 SOLVED = "ingest_seq long, field_name string, client string, notation string, utc_micros long, ambiguous boolean"
 
 
-def normalise(memories: DataFrame, clients: DataFrame, fields: tuple[str, ...] = ("valid_from", "valid_until"), block_rows: int = 50_000) -> DataFrame:
-    """One row per non-null value: ``ingest_seq, field_name, client, notation, utc_micros, ambiguous``."""
+def normalise(memories: DataFrame, clients: DataFrame, fields: tuple[str, ...] = ("valid_from", "valid_until"), block_rows: int = 50_000, declared: bool = True) -> DataFrame:
+    """One row per non-null value: ``ingest_seq, field_name, client, notation, utc_micros, ambiguous``.
+
+    With ``declared=False`` the orders of day and month that the clients declare are not used.
+    """
     ship(memories.sparkSession)
     # one row per client; the reference table may repeat one
     c = clients.groupBy(F.col("client").alias("_client")).agg(F.min("zone_id").alias("zone_id"), F.min("day_first").alias("day_first"), F.lit(True).alias("known"))
@@ -286,7 +290,7 @@ def normalise(memories: DataFrame, clients: DataFrame, fields: tuple[str, ...] =
     ).where("v.raw IS NOT NULL")
     values = values.join(c, F.col("client") == F.col("_client"), "left").select(
         "ingest_seq", "v.field_name", "client", "v.raw", F.coalesce("zone_id", F.lit("UTC")).alias("zone_id"),
-        F.when(F.col("known"), F.col("day_first")).otherwise(F.lit(False)).alias("day_first"),
+        (F.when(F.col("known"), F.col("day_first")).otherwise(F.lit(False)) if declared else F.lit(None).cast("boolean")).alias("day_first"),
     )
     read = values.mapInPandas(_read, READ_SCHEMA).withColumn("client", F.coalesce("client", F.lit("")))
     # readings are compared only among values that have an order of day and month, or several instants
@@ -294,7 +298,7 @@ def normalise(memories: DataFrame, clients: DataFrame, fields: tuple[str, ...] =
     plain = read.where(~chained).select(
         "ingest_seq", "field_name", "client", "notation", F.get("micros", F.lit(0)).alias("utc_micros"), F.lit(False).alias("ambiguous")
     )
-    records = read.where(chained).withColumn("block", F.coalesce(F.floor(F.col("ingest_seq") / block_rows), F.lit(-1)))
+    records = read.where(chained).withColumn("block", F.coalesce(F.floor(F.col("ingest_seq") / block_rows), -1 - F.pmod(F.xxhash64("field_name", "micros", "notation"), F.lit(1024))))
     summaries = records.groupBy("client", "block").applyInPandas(
         _summarise, "client string, block long, matrix array<double>, first_orders array<string>, first_micros array<long>, last_orders array<string>, last_micros array<long>, alone boolean"
     )

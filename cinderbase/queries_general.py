@@ -37,8 +37,18 @@ def p4_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per client, of its ambiguous slash dates: how many the path reads in the declared order, without being told it."""
+    memories, clients = table(spark, sf_dir, "memories"), table(spark, sf_dir, "client_apps")
+    keys = ["ingest_seq", "field_name"]
+    told = timestamps.normalise(memories, clients).where("ambiguous AND notation = 'slash'").select(*keys, "client", F.col("utc_micros").alias("told"))
+    inferred = timestamps.normalise(memories, clients, declared=False).where("ambiguous AND notation = 'slash'").select(*keys, "utc_micros")
+    both = inferred.join(told, keys)
+    return both.groupBy("client").agg(F.count("*").alias("n_ambiguous"), F.count_if(F.col("told") == F.col("utc_micros")).alias("n_as_declared"))
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_notations": p4_notations, "p5_found": p5_found, "p5_state": p5_state}
+    return {"p4_found": p4_found, "p4_notations": p4_notations, "p4_orders": p4_orders, "p5_found": p5_found, "p5_state": p5_state}
 
 
 P5_SQL = r"""

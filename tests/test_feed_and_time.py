@@ -1,5 +1,6 @@
 """The change feed and the timestamps: brute force, edge cases, distributed against plain."""
 
+import os
 import random
 from datetime import UTC, datetime
 
@@ -142,3 +143,41 @@ def test_scratch_tables_are_cleared(spark):
     local = path.removeprefix("file:")
     assert os.path.isdir(local)
     assert clear_scratch(spark) >= 1 and not os.path.exists(local) and clear_scratch(spark) == 0
+
+
+def _undeclared(spark, **kw):
+    """A source that writes day first, then changes to month first, and declares nothing."""
+    days = ["25/03/2024", "04/05/2024", "26/05/2024", "07/06/2024", "28/06/2024", "07/13/2024", "08/05/2024", "08/25/2024", "09/06/2024", "09/27/2024"]
+    rows = [(k, d, None, "c") for k, d in enumerate(days)]
+    m = spark.createDataFrame(rows, "ingest_seq long, valid_from string, valid_until string, client string")
+    clients = spark.createDataFrame([("c", "UTC", None)], "client string, zone_id string, day_first boolean")
+    got = {r["ingest_seq"]: r["utc_micros"] for r in timestamps.normalise(m, clients, **kw).collect()}
+    return [got[k] for k in range(len(days))]
+
+
+def test_the_path_decides_without_a_declaration(spark, monkeypatch):
+    want = [us(2024, 3, 25), us(2024, 5, 4), us(2024, 5, 26), us(2024, 6, 7), us(2024, 6, 28), us(2024, 7, 13), us(2024, 8, 5), us(2024, 8, 25), us(2024, 9, 6), us(2024, 9, 27)]
+    assert _undeclared(spark) == want == _undeclared(spark, block_rows=3)
+
+
+def test_without_its_costs_the_path_reads_otherwise():
+    records = [timestamps.interpret(d, "UTC", None)[1] for d in ("07/13/2024", "08/05/2024", "08/25/2024")]
+    records = [tuple(map(list, zip(*r))) for r in records]
+    chosen = timestamps.viterbi(records)
+    assert [r[0][k] for r, k in zip(records, chosen)] == ["M", "M", "M"]
+    assert [r[0][min(range(len(r[2])), key=r[2].__getitem__)] for r in records] == ["M", "D", "M"]  # each value alone
+
+
+def test_declared_orders_are_found_again(spark):
+    from cinderbase import queries_general
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test data")
+    rows = queries_general.p4_orders(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["n_as_declared"] for r in rows) >= 0.85 * sum(r["n_ambiguous"] for r in rows) > 10
+
+
+def test_records_without_a_number(spark):
+    m = spark.createDataFrame([(None, "03/04/2024", None, "c"), (None, "2024-01-02", "x", None)], "ingest_seq long, valid_from string, valid_until string, client string")
+    clients = spark.createDataFrame([("c", "UTC", True)], "client string, zone_id string, day_first boolean")
+    assert sorted(r["utc_micros"] or 0 for r in timestamps.normalise(m, clients).collect()) == [0, us(2024, 1, 2), us(2024, 4, 3)]
