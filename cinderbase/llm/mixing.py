@@ -4,12 +4,14 @@ Sizes are tokens of a public tokenizer, counted over whole texts. A weight is a
 ``w_s ∝ p_s^a * t_s^(1-a)``: at ``a = 0`` the target shares, at ``a = 1`` the natural ones. With no
 targets it is the classic temperature mix ``p_s^a``. The exponent is bisected to the smallest one at
 which no source needs more than its cap of repetitions at the wanted size, or to a target entropy.
-If no size is given, the largest one is taken at which the targets can be met as they are.
+The size is all tokens that the sources with a target have, unless one is given; with ``exact`` it is the
+largest one at which the targets can be met as they are, so that nothing is tempered.
 
-The weights become budgets of tokens. A source's texts are put into blocks by a keyed hash and the
-blocks into a keyed order; whole passes over the source use every text once, the last pass takes
-whole blocks in order until the budget ends inside one, and only that block's texts are ordered and
-cut by a running sum. So a hot source never needs one sorted list of its texts.
+The weights become budgets of tokens, realised as block permutations. A source's texts are put into blocks
+by a keyed hash, and each pass over the source puts the blocks into a keyed order of its own. Blocks are
+taken in that order, pass after pass, until the budget ends inside one; only that block's texts are ordered
+and cut by a running sum. So a hot source never needs one sorted list of its texts. ``position`` is the part
+of its source's budget that lies before a use: sorted by it, the sources interleave at their weights.
 
 Defined cases: sources without a target, and texts that are null or empty, are left out; a target
 without documents keeps its row in the report with nothing used, and its share is spread over the
@@ -24,6 +26,7 @@ import base64
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,6 +37,7 @@ from cinderbase.session import cut, ship, small_enough
 TEXTS_PER_BLOCK, MOST_BLOCKS, KEY = 20_000, 1 << 20, 20_240_501
 #: Bytes of a block's row when the blocks are sent to the executors; beyond the checked size they are joined by a shuffle.
 BLOCK_BYTES = 64
+#: The vocabulary file, read on the driver and sent to the executors.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern the byte-level vocabulary was trained with (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,23 +47,23 @@ MAX_SOURCES = 100_000
 _ENCODERS: dict = {}
 
 
-def _encoder(path: str):
-    if path not in _ENCODERS:
+def _encoder(name: str, vocabulary: bytes):
+    if name not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+        _ENCODERS[name] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[name]
 
 
 def token_counts(df: DataFrame, column: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, n_tokens`` of whole texts."""
 
     ship(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())  # of a fixed size, some hundred KB
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(tokenizer, sent.value).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": [len(encode(t)) for t in pdf["text"]]})
 
@@ -115,8 +119,11 @@ class Mix:
     exponent: float
 
 
-def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, tokenizer: str = TOKENIZER, available: bool = False) -> Mix:
-    """The mix of the wanted size; with ``available`` that is as many tokens as the sources with a target have."""
+def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, tokenizer: str = TOKENIZER, exact: bool = False) -> Mix:
+    """The mix of the wanted size, by default as many tokens as there are; with ``exact`` of the largest size that meets the targets.
+
+    The selection has a row for each use of a text: ``doc_id, source, n_tokens, pass, block_place, position``.
+    """
     spark = documents.sparkSession
     wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     if wanted.count() > MAX_SOURCES:
@@ -131,28 +138,31 @@ def mix(documents: DataFrame, targets: DataFrame, size: float | None = None, tok
     counted = counted.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(KEY)), F.lit(n_blocks)).cast("int"))
     blocks = counted.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
     per_source = {r["source"]: int(r["n"]) for r in blocks.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    if available:
+    if size is None and not exact:
         size = float(sum(per_source.get(s, 0) for s, t in share.items() if t > 0))
     a, weights, total = plan(per_source, share, caps, size)
-    budgets = [(s, w, int(size_s // per_source[s]), float(size_s % per_source[s])) for s, w in weights.items() for size_s in (min(total * w, caps[s] * per_source[s]),)]
-    budget = spark.createDataFrame(budgets or [("", 0.0, 0, 0.0)], "source string, weight double, passes int, rest double")
-    order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(KEY + 1)), "block")
-    placed = blocks.join(F.broadcast(budget), "source").withColumn("end", F.sum("tokens").over(order))
-    placed = placed.withColumn("start", F.col("end") - F.col("tokens"))
-    placed = placed.select(F.col("source").alias("s"), F.col("block").alias("b"), "passes", "rest", "start", (F.col("end") <= F.col("rest")).alias("whole"), ((F.col("start") < F.col("rest")) & (F.col("end") > F.col("rest"))).alias("edge"))
-    placed = F.broadcast(placed) if small_enough(len(weights) * n_blocks, BLOCK_BYTES) else placed
+    budgets = [(s, w, float(min(total * w, caps[s] * per_source[s])), per_source[s]) for s, w in weights.items()]
+    budget = spark.createDataFrame(budgets or [("", 0.0, 0.0, 0)], "source string, weight double, budget double, whole long")  # a row per source
+    # an order of the blocks for each pass; a pass begins where the one before has used the whole source
+    passes = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("budget") / F.col("whole")).cast("int") - 1)))
+    order = Window.partitionBy("source", "pass").orderBy(F.xxhash64("block", "pass", F.lit(KEY + 1)), "block")
+    placed = blocks.join(F.broadcast(budget), "source").withColumn("pass", passes)
+    placed = placed.withColumns({"block_place": F.row_number().over(order), "end": F.sum("tokens").over(order) + F.col("pass") * F.col("whole")})
+    placed = placed.withColumn("start", F.col("end") - F.col("tokens")).where("start < budget")
+    placed = placed.select(F.col("source").alias("s"), F.col("block").alias("b"), "pass", "block_place", "start", "budget", (F.col("end") > F.col("budget")).alias("edge"))
+    most = max([1, *(math.ceil(m / w) for _, _, m, w in budgets)])
+    placed = F.broadcast(placed) if small_enough(len(weights) * n_blocks * most, BLOCK_BYTES) else placed
     at = counted.join(placed, (F.col("source") == F.col("s")) & (F.col("block") == F.col("b")))
-    inner = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(KEY + 2)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = at.where("edge").withColumn("run", F.col("start") + F.sum("n_tokens").over(inner)).withColumn("extra", F.when(F.col("run") <= F.col("rest"), 1).otherwise(0)).drop("run")
-    rest = at.where("NOT edge").withColumn("extra", F.when(F.col("whole"), 1).otherwise(0))
-    chosen = rest.unionByName(edge).select("doc_id", "source", "n_tokens", (F.col("passes") + F.col("extra")).cast("int").alias("uses"))
-    selection = chosen.where("uses > 0")
-    sums = selection.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("most_uses"), F.count("*").alias("n_texts"))
+    inner = Window.partitionBy("source", "pass", "block").orderBy(F.xxhash64("doc_id", F.lit(KEY + 2)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = at.where("edge").withColumn("run", F.col("start") + F.sum("n_tokens").over(inner)).where(F.col("run") <= F.col("budget")).drop("run")
+    chosen = at.where("NOT edge").unionByName(edge)
+    selection = chosen.select("doc_id", "source", "n_tokens", "pass", "block_place", F.round(F.col("start") / F.col("budget"), 9).alias("position"))
+    sums = selection.groupBy("source").agg(F.sum("n_tokens").alias("tokens_used"), (F.max("pass") + 1).alias("most_uses"), F.count_if(F.col("pass") == 0).alias("n_texts"))
     everything = sums.agg(F.sum("tokens_used").alias("all_used"))
     known = spark.createDataFrame([(s, share[s], caps[s], weights.get(s, 0.0), per_source.get(s, 0)) for s in share] or [("", 0.0, 0, 0.0, 0)], "source string, target_share double, max_repeats int, weight double, tokens_available long")
     known = known.where("source <> ''") if not share else known
     shares = known.join(sums, "source", "left").crossJoin(F.broadcast(everything)).select(
         "source", "target_share", F.round("weight", 9).alias("planned_share"), F.coalesce(F.col("tokens_used") / F.col("all_used"), F.lit(0.0)).alias("actual_share"),
-        "tokens_available", F.coalesce("tokens_used", F.lit(0)).cast("long").alias("tokens_used"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats",
+        "tokens_available", F.coalesce("tokens_used", F.lit(0)).cast("long").alias("tokens_used"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("most_uses", F.lit(0)).cast("int").alias("most_uses"), "max_repeats",
     )
     return Mix(selection, shares, a)

@@ -56,19 +56,23 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The selection: how often each document is used."""
-    plan = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    return plan.selection
+    """The selection of a mix of as many tokens as there are: a row for each use of a document, with its place in the stream."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).selection
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of each source, its tokens and the most uses of one text."""
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares
+    """Its shares: target, tempered and actual share of each source, its tokens, the most uses of one text, and the exponent."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixed.shares.withColumn("exponent", F.lit(round(mixed.exponent, 9)))
+
+
+def p7_mix_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection of the largest mix that meets every target share as it is."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), exact=True).selection
 
 
-def p7_shares_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares and the exponent of a mix of as many tokens as there are, where the caps on repeats decide."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), available=True)
+def p7_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), exact=True)
     return mixed.shares.withColumn("exponent", F.lit(round(mixed.exponent, 9)))
 
 
@@ -81,7 +85,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_available": p7_shares_available, "p8_found": p8_found, "p8_rates": p8_rates}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_found": p6_found, "p6_items": p6_items, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_mix_exact": p7_mix_exact, "p7_shares_exact": p7_shares_exact, "p8_found": p8_found, "p8_rates": p8_rates}
 
 
 def oracle_sql() -> dict:

@@ -1,16 +1,26 @@
 """Text cut off by field limits or in transfer.
 
 For each source and column the lengths of all values, in characters and in bytes, are counted. A
-length that is far more frequent than the lengths just below it is a spike; values there were cut by
-a limit unless they end with terminal punctuation or a whole line of another kind. Limits that respect word ends pile values up just
-below the limit instead; those are found as spikes of the histogram in steps of ``SOFT_STEP``. At a true limit most values have an open
-end; a spike of whole texts (copies of one text) is none.
+length that is far more frequent than the lengths just below it is a spike. Limits that respect word ends
+pile values up just below the limit instead; those are found as spikes of the histogram in steps of
+``SOFT_STEP``. At a true limit most values have an open end; a spike of whole texts (copies of one text)
+is none.
 
-A value that stops elsewhere was cut in transfer; it is found by its end alone: inside a word, a
-sentence, a table or a template. Leftovers of a transfer (an ellipsis, half a tag or entity, a
-replacement character, an error message) are taken off before the end is looked at.
+The histogram decides which of two rules judges a value, and each is reported as a class of its own
+(``how``):
 
-Everything runs in the JVM; the text is read once and reduced to a few flags per row.
+``limit``     At a spike a value is cut unless it ends with terminal punctuation or with a whole line of
+              another kind. Here a line of a list or of fields counts as whole only if it does not break off
+              at a connecting word or mark, and a whole sentence with leftovers of a transfer is cut.
+``transfer``  Elsewhere a value is cut only if its end shows it: inside a word, a sentence, a table or a
+              template. Lines of a list and of fields, and leftovers after a whole sentence, are let stand as
+              slips of editors.
+
+Leftovers of a transfer (an ellipsis, half a tag or entity, a replacement character, an error message) are
+taken off before the end is looked at.
+
+Everything runs in the JVM; the text is read once and reduced to a few flags per row. Histograms are
+aggregated per source and length, so a hot source is folded before the shuffle.
 
 Defined cases: null and empty texts are not cut; rows without a source form a source of their own;
 an empty table gives no rows; repeated rows are each judged alike.
@@ -39,6 +49,8 @@ WHOLE_LINE = (
 LIST_LINE = r"^\s*[*#;:]"
 FIELD_LINE = r"^\p{Lu}[\p{L} ]{0,24}: [^.]{1,40}$"
 OPEN_BRACKET = r"(?:\[\[?[^\]\[]*|\([^()]*|\{\{[^{}]*|<[A-Za-z][^<>]*)$"
+# Words and marks after which a line goes on.
+CONNECTING = r"(?:[,;:(\[–—/&-]|\b(?:a|an|the|of|in|on|at|by|for|from|with|and|or|der|die|das|und|von|im|el|la|los|las|de|del|y|en|le|les|du|des|et))\s*$"
 
 SOFT_STEP, SOFT_BACK, HARD_BACK = 20, 10, 64
 MIN_AT_SPIKE, HARD_TIMES, SOFT_TIMES, OPEN_SHARE = 5, 6.0, 3.0, 0.4
@@ -77,6 +89,7 @@ def profile(df: DataFrame, column: str = "text", key: str = "doc_id", source: st
         # without a whole sentence, heading, list line, category, template or address at the end
         (~sentence & ~whole & ~listed & ~field).alias("open_end"),
         ((listed | field) & line.rlike(OPEN_BRACKET)).alias("open_item"),
+        ((listed | field) & line.rlike(CONNECTING) & ~sentence & ~whole).alias("broken_item"),
     )
 
 
@@ -107,7 +120,7 @@ def soft_spikes(rows: DataFrame) -> DataFrame:
 
 
 def detect(df: DataFrame, column: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """Per row ``row_key, row_source, at_limit, by_limit, cut``. The rows' flags are written once and read for the histograms and the verdict."""
+    """Per row ``row_key, row_source, at_limit, by_limit, cut, how``. The rows' flags are written once and read for the histograms and the verdict."""
     rows = cut(profile(df, column, key, source))
     hard = hard_spikes(rows)
     for unit in ("chars", "bytes"):
@@ -118,8 +131,9 @@ def detect(df: DataFrame, column: str = "text", key: str = "doc_id", source: str
     rows = rows.join(soft, F.col("row_source").eqNullSafe(F.col("s")) & (F.floor((F.col("chars") - 1) / SOFT_STEP) == F.col("m")), "left").drop("s", "m")
     at_limit = F.col("at_hard") | F.col("soft").isNotNull()
     unfinished = F.col("in_markup") | F.col("open_end") | F.col("open_item") | F.col("fragment")
-    by_limit = at_limit & (unfinished | F.col("leftover"))
-    return rows.select("row_key", "row_source", "chars", "bytes", at_limit.alias("at_limit"), by_limit.alias("by_limit"), (by_limit | unfinished).alias("cut"), "leftover")
+    by_limit = at_limit & (unfinished | F.col("broken_item") | F.col("leftover"))
+    how = F.when(by_limit, "limit").when(~at_limit & unfinished, "transfer")
+    return rows.select("row_key", "row_source", "chars", "bytes", at_limit.alias("at_limit"), by_limit.alias("by_limit"), how.isNotNull().alias("cut"), how.alias("how"), "leftover")
 
 
 def source_rates(df: DataFrame, **names: str) -> DataFrame:
@@ -128,8 +142,8 @@ def source_rates(df: DataFrame, **names: str) -> DataFrame:
     per_len = found.where("by_limit").groupBy("row_source", "chars").count()
     top = per_len.groupBy("row_source").agg(F.max(F.struct("count", "chars")).alias("m"))
     rates = found.groupBy("row_source").agg(
-        F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.count_if("by_limit").alias("n_cut_at_limit")
+        F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.count_if("by_limit").alias("n_cut_at_limit"), F.count_if(F.col("how") == "transfer").alias("n_cut_in_transfer")
     )
     return rates.join(top.withColumnRenamed("row_source", "s"), F.col("row_source").eqNullSafe(F.col("s")), "left").select(
-        F.col("row_source").alias("source"), "n_texts", "n_cut", "n_cut_at_limit", (F.col("n_cut") / F.col("n_texts")).alias("cut_share"), F.col("m.chars").alias("usual_limit")
+        F.col("row_source").alias("source"), "n_texts", "n_cut", "n_cut_at_limit", "n_cut_in_transfer", (F.col("n_cut") / F.col("n_texts")).alias("cut_share"), F.col("m.chars").alias("usual_limit")
     )

@@ -2,7 +2,7 @@ from cinderbase.llm import queries
 
 
 def test_caps_temper_a_mix_of_all_available_tokens(spark, data):
-    rows = queries.p7_shares_available(spark, data).collect()
+    rows = queries.p7_shares(spark, data).collect()
     used, there = sum(r["tokens_used"] for r in rows), sum(r["tokens_available"] for r in rows if r["target_share"] > 0)
     assert 0 < rows[0]["exponent"] <= 1 and len({r["exponent"] for r in rows}) == 1
     assert 0.95 * there <= used <= there
