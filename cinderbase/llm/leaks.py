@@ -9,9 +9,10 @@ document then decides, so that changed words, spelling, layout and the order of
 matter. Where instead a long template matches with other values, and every slot of the item is
 replaced by one and the same value throughout, the pair is a re-parameterised copy.
 
-The items are a stated query set of a checked size. They are indexed in blocks of at most
-``BLOCK_TOKENS`` tokens; each block is sent to the executors and joined against all documents, one
-Arrow batch at a time, so nothing is shuffled and a hot document or page does no harm.
+The items are a stated query set. Which words are template and which are names is counted over all items
+once. They are then indexed in blocks of about ``BLOCK_TOKENS`` tokens; each block is sent to the executors,
+indexed once per worker and joined against all documents, one Arrow batch at a time, so nothing is shuffled
+and a hot document or page does no harm. The result does not depend on the size of the blocks.
 
 Defined cases: null and empty texts or items hold nothing; repeated documents are reported each;
 repeated items are reported each; an empty table gives no rows; other columns are ignored.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cinderbase.session import ship
 
@@ -81,16 +84,36 @@ def _window_hashes(canon: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def item_words(text: str) -> set[tuple[str, bool]]:
+    """Each word of an item in lower case, and whether it stands there in lower case."""
+    raw = set(TOKEN.findall(MARKUP.sub(" ", text)))
+    low = {w for w in raw if w.islower()}
+    return {(w, w in low) for w in {x.lower() for x in raw if not x.isdigit()}}
+
+
+def template_words(items: DataFrame) -> list[str]:
+    """Words that some item has in lower case, or many items have; counted over all items."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [pair for t in pdf["item_text"] for pair in item_words(t)]
+            yield pd.DataFrame(rows, columns=["word", "low"])
+
+    words = items.select("item_text").mapInPandas(split, "word string, low boolean").groupBy("word").agg(F.count("*").alias("n"), F.max("low").alias("low"))
+    return [r[0] for r in words.where(F.col("low") | (F.col("n") >= COMMON_IN_ITEMS)).select("word").collect()]
+
+
 class ItemIndex:
-    """Template windows of a block of items."""
+    """Template windows of a block of items; ``template`` has the template words of all items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], template: list[str] | None = None):
         self.ids = [i for i, _ in items]
         raw = [TOKEN.findall(MARKUP.sub(" ", t)) for _, t in items]
-        seen_low = Counter(w for ws in raw for w in set(ws) if w.islower())
-        in_items = Counter(w.lower() for ws in raw for w in {x.lower(): x for x in ws}.values())
-        self.template = {w for w, n in in_items.items() if not w.isdigit() and (w in seen_low or n >= COMMON_IN_ITEMS)}
-        self.codes: dict[str, int] = {w: 16 + k for k, w in enumerate(sorted(self.template))}
+        if template is None:
+            counts = Counter(w for _, t in items for w, _ in item_words(t))
+            low = {w for _, t in items for w, is_low in item_words(t) if is_low}
+            template = [w for w, n in counts.items() if w in low or n >= COMMON_IN_ITEMS]
+        self.codes: dict[str, int] = {w: 16 + k for k, w in enumerate(sorted(template))}
         self.words = [[w.lower() for w in ws] for ws in raw]
         self.sentences = [[words(s) for s in SENTENCE.split(t) if words(s)] for _, t in items]
         self.lengths = np.array([max(1, len(ws)) for ws in self.words])
@@ -287,6 +310,8 @@ def _remapped(index: ItemIndex, canon: np.ndarray, value: np.ndarray, starts: np
     return out
 
 
+#: The index of each block in this worker, by a name drawn for the block.
+_INDEXES: dict[str, ItemIndex] = {}
 SCHEMA = "item_id long, doc_id long, kind string, window_share double, held_share double"
 
 
@@ -294,22 +319,21 @@ def find_leaks(documents: DataFrame, items: DataFrame, reparameterised: bool = T
     """``item_id, doc_id, kind, window_share, held_share`` of all candidate pairs."""
     spark = documents.sparkSession
     ship(spark)
-    rows = [(r[0], r[1]) for r in items.select("item_id", "item_text").orderBy("item_id").toLocalIterator() if r[1]]
+    held = items.select("item_id", "item_text").where(F.length("item_text") > 0)
+    size = held.agg(F.sum(F.floor(F.length("item_text") / 4) + LONG_WINDOW)).first()[0] or 0
+    template = spark.sparkContext.broadcast(template_words(held))
     docs = documents.select("doc_id", "text").where("text IS NOT NULL")
-    blocks: list[list] = [[]]
-    room = BLOCK_TOKENS
-    for row in rows:
-        room -= len(row[1]) // 4 + LONG_WINDOW
-        if room < 0:
-            blocks.append([])
-            room = BLOCK_TOKENS
-        blocks[-1].append(row)
+    n_blocks = max(1, -(-size // BLOCK_TOKENS))
     found = None
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
+    for k in range(n_blocks):
+        block = held.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n_blocks)) == k).orderBy("item_id", "item_text")
+        sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])  # about BLOCK_TOKENS tokens
 
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            return _scan(ItemIndex(sent.value), batches, reparameterised)
+        def scan(batches: Iterator[pd.DataFrame], sent=sent, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            if key not in _INDEXES:
+                _INDEXES.clear()
+                _INDEXES[key] = ItemIndex(sent.value, template.value)
+            return _scan(_INDEXES[key], batches, reparameterised)
 
         one = docs.mapInPandas(scan, SCHEMA)
         found = one if found is None else found.unionByName(one)
@@ -321,6 +345,7 @@ def leaked(found: DataFrame) -> DataFrame:
 
     An item counts from two fifths of its words; the threshold is lower by what changed words and
     spelling cost on average. Windows alone do not count, since chance values add up in items of very
-    common templates; at least one sentence or part of one must be aligned.
+    common templates; at least one sentence or part of one must be aligned. A re-parameterised copy holds
+    all the words of the template and counts as well.
     """
-    return found.where(LEAKED)
+    return found.where(f"({LEAKED}) OR kind = 'reparameterised'")

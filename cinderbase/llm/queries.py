@@ -44,15 +44,14 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), reparameterised=False)
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return leaks.leaked(found).select("item_id", "doc_id").distinct()
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item: in how many documents it leaked, verbatim or with other values."""
     found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    kept = found.where(F.expr(leaks.LEAKED) | (F.col("kind") == "reparameterised"))
-    return kept.groupBy("item_id", "kind").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("window_share").alias("max_share"))
+    return leaks.leaked(found).groupBy("item_id", "kind").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("window_share").alias("max_share"))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
