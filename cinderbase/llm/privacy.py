@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cinderbase.session import cut, ship, small_enough
 
 LEXICON_BYTES = 64
-ROUNDS = 8
+ROUNDS = 64
 KINDS = ("email", "id_number", "phone", "address", "person")
 
 # --- e-mail --------------------------------------------------------------------------------------
@@ -46,7 +46,7 @@ EMAIL_SPOKEN = re.compile(rf"[\w.+-]+(?: dot [\w+-]+)* at {HOST}(?:(?: dot |\.){
 # --- identity numbers ----------------------------------------------------------------------------
 ID_CUE = (
     r"(?:passport|passeport|pasaporte|reisepass|identity card|id card|identity number|ausweis|personalausweis|social security|social|ssn|nino|ni|national insurance"
-    r"|insurance|versicherungs\w*|sozialversicherungs\w*|tax|steuer|tin|nif|nie|dni|curp|registry|citizen|carte d'identité|numéro fiscal|sécurité sociale|cédula|seguridad social)"
+    r"|insurance|versicherungs\w*|sozialversicherungs\w*|tax|steuer|tin|nif|nie|dni|curp|registry|citizen|driv(?:er|ing)['’]?s? licen[cs]e|führerschein\w*|permis de conduire|carnet de conducir|patente di guida|carte d'identité|numéro fiscal|sécurité sociale|cédula|seguridad social)"
 )
 ID_LINK = r"(?:[\s-]*(?:id|ids|number|nummer|num|no|nr|n°|nº|code|card|is|ist|es|est|numéro|número|file|personal)\b\.?)*\s*[:#=,]?\s*"
 ID_VALUE = r"(?:[A-Z]{4}\d{6}[A-Z0-9]{6,8}|[A-Z]{0,2}[ -]?\d[\dA-Z]*(?:[ -]?\d[\dA-Z]*)+(?:[ -]?[A-Z])?|[A-Z]{1,3}\d{5,})"
@@ -64,13 +64,15 @@ PHONE_PLUS = re.compile(r"(?<![\w+])(?:\+|00)[1-9]\d{0,2}(?:[\s./-]?\(?\d{1,6}\)
 PHONE_NANP = re.compile(r"(?<![\w.+-])(?:\(\d{3}\)\s?|\d{3}[.\s-])\d{3}[.\s-]\d{4}(?![\w-]|\.\d)(?:\s?(?:ext|x)\.?\s?\d{1,5})?")
 PHONE_SHORT = re.compile(r"(?<![\w.+-])\d{3}-\d{4}(?![\w-]|\.\d)(?P<ext>\s?(?:ext|x)\.?\s?\d{1,5})?", re.I)
 PHONE_NATIONAL = re.compile(r"(?<![\w.+-])0\d{2,4}(?:[\s/-]\d{2,6}){1,4}(?![\w-]|\.\d)")
+# mobile numbers of eleven digits whose first three are a network
+PHONE_ELEVEN = re.compile(r"(?<![\w.+-])1[3-9]\d[ -]\d{4}[ -]\d{4}(?![\w-]|\.\d)")
 PHONE_CUE = re.compile(r"(?:call|ring|text|tel|phone|mobile|móvil|mobil|handy|fax|whatsapp|number|numéro|nummer|número|on|unter|cell)\s*(?:is|ist|es|est|me|at|on|unter|no)?\s*[.:]?\s*$", re.I)
 NO_PHONE = re.compile(r"(?:ticket|part(?: number)?|order(?: no)?|batch|serial|version|build|flight|coordinates|range|room|level|score|invoice|case|item|sku|model|parcel|log|isbn|passport|id|ids)\s*(?:no\.?|number|nr\.?|#|:)?\s*$", re.I)
 NO_PHONE_AFTER = re.compile(r"\s*(?:points|credits|people|units|pieces|degrees|euro|dollars|steps)\b", re.I)
 
 # --- addresses -----------------------------------------------------------------------------------
 WORD = r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
-EN_TYPE = r"(?:street|st|road|rd|lane|ln|avenue|ave|boulevard|blvd|row|way|drive|dr|close|court|ct|square|sq|terrace|place|pl|crescent|parkway|highway|hwy)\b\.?"
+EN_TYPE = r"(?:street|st|road|rd|lane|ln|avenue|ave|boulevard|blvd|row|way|drive|dr|close|court|ct|square|sq|terrace|place|pl|crescent|parkway|highway|hwy|gardens|grove|mews|alley|quay|wharf|promenade|esplanade)\b\.?"
 FLAT = r"(?:(?:flat|apt|apartment|unit|suite|no)\.?\s?\d+[a-z]?,?\s)"
 ADDRESS_EN = re.compile(rf"(?<![\w.+-]){FLAT}?\d{{1,5}}[a-z]?(?:[-–]\d{{1,5}}[a-z]?)?,?\s(?:[nsew]{{1,2}}\.?\s)?(?:{WORD}\s){{1,3}}?{EN_TYPE}(?:,?\s(?:apt|apartment|flat|unit|suite)\.?\s?\d+[a-z]?)?", re.I)
 ADDRESS_NO = re.compile(rf"\bno\.?\s?\d{{1,5}}[a-z]?,?\s(?:{WORD}\s){{1,3}}?{EN_TYPE}", re.I)
@@ -78,6 +80,9 @@ ADDRESS_DE = re.compile(r"\b[^\W\d_][^\W\d_-]*(?:straße|strasse|str\.|weg|gasse
 ADDRESS_ES = re.compile(rf"\b(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|carrera)\s(?:(?:de|del|la|las|los|el)\s)*{WORD}(?:\s{WORD})?,?\s(?:n[º°.]\s?)?\d{{1,4}}(?:,?\s\d{{1,2}}\s?[º°ª]\s?[A-Z]?\b)?", re.I)
 ADDRESS_FR = re.compile(rf"(?<![\w.+-])\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|chemin|impasse|quai|allée|cours|route)\s(?:(?:de|du|des|la|le|les|d'|l')\s?)*{WORD}", re.I)
 
+ADDRESS_IT = re.compile(rf"(?:(?<![\w.+-])\d{{1,4}},?\s(?:via|viale|piazza|corso|vicolo|rua|travessa|praça)\s(?:(?:del|della|dei|di|da|do|dos|das)\s)*{WORD}|\b(?:via|viale|piazza|corso|vicolo|rua|travessa|praça)\s(?:(?:del|della|dei|di|da|do|dos|das)\s)*{WORD}(?:\s{WORD})?,?\s\d{{1,4}}\b)", re.I)
+ADDRESS_NL = re.compile(r"\b[^\W\d_]{3,}(?:straat|laan|gracht|plein|kade|singel)\s\d{1,4}(?:\s?[a-z]\b)?", re.I)
+
 # --- persons -------------------------------------------------------------------------------------
 # Words that follow a name of a firm, a place, a street or an event.
 NO_FAMILY = frozenset(
@@ -104,8 +109,16 @@ CUE_BEFORE = re.compile(
     r"|\b(?:Ms|Mr|Mrs|Dr|Prof|Herr|Frau|Sra?|Mme)\.?\s|\brow;|\"(?:owner|name|contact)\": \"|\b(?:Best|Cheers|Thanks|Love|Yours),\n)$",
     re.I,
 )
-CUE_AFTER = re.compile(r"(?:['’]s (?!(?:street|road))[^\W\d_]+ is broken| signed the| will join| (?:please\b|about the )| and [^\n]{3,40} share a| share a (?:flat|house)|;[^;\s]+(?:@| ?\(at| at |＠|\[@))")
-CUE_PLANS = re.compile(r"\b(?:Plans|Plant|Plays) \w+ with $|\bWorks closely with $|\bReports to $")
+# What follows a name in a sentence about a person: a possession, an auxiliary, a verb, another person, or the person's address.
+CUE_AFTER = re.compile(
+    r"(?:['’]s (?!(?:street|road)\b)[^\W\d_]|,? (?:who|whose)\b| (?:will|would|has|had|can|could|should|must|please|about|says|said|told|asked|wants|wanted|likes|liked|lives|lived|works|worked|signed|wrote|writes"
+    r"|called|calls|joined|joins|moved|moves|prefers|knows|married|visited|agreed|explained|confirmed|promised|shares?|shared|thinks|needs|plays|teaches|studies)\b| and \w[^\n]{1,38} (?:share|live|work|met|are|have|will)\b|;[^;\s]+(?:@| ?\(at| at |＠|\[@))"
+)
+# Words before a name that name what one does with persons.
+CUE_COMPANY = re.compile(
+    r"\b(?:with|to|by|from|for|met|meet|ask|asked|call|called|told|tell|email|emailed|phoned|texted|visited|invited|thanked|married|hired|contact|colleague|friend|cousin|brother|sister|mother|father|uncle|aunt|boss|teacher|doctor"
+    r"|dentist|lawyer|neighbou?r|partner|wife|husband|son|daughter|manager|mit|con|avec)[,:]? $"
+)
 FEMALE = re.compile(r"\b(?:Ms|Mrs|Frau|Sra|Mme|sister(?:'s)?|jefa|nachbarin|voisine|mother|aunt|she|her)\b", re.I)
 MALE = re.compile(r"\b(?:Mr|Herr|Sr|brother(?:'s)?|jefe|nachbar|voisin|médecin|father|uncle|his)\b", re.I)
 CYRILLIC = re.compile(r"[Ѐ-ӿ]")
@@ -144,7 +157,7 @@ def _is_person(text: str, m: re.Match, lex: Lexicon, reverse: bool) -> bool:
     next_word = re.match(r" ([^\W\d_]+)", after)
     if next_word and next_word[1].lower() in ("festival", "street", "road", "row", "lane", "ave", "blvd", "avenue", "boulevard") or (not reverse and low in ("winter", "summer") and next_word and next_word[1] == "Festival"):
         return False
-    if re.search(r"\b(?:Mount|Lake|Calle|rue|The|Street|the depot in|edge of|nach) $", before):
+    if re.search(r"\b(?:Mount|Lake|Calle|rue|The|Street|(?:in|of|near|at|outside|around|towards?|nach|bei|en|à)) $", before):
         return False
     given, family = lex.is_given(a), lex.is_family(b)
     if low in NO_FAMILY and not family:
@@ -153,16 +166,18 @@ def _is_person(text: str, m: re.Match, lex: Lexicon, reverse: bool) -> bool:
         return a[0].isupper() and b[0].isupper() and not reverse or given and family
     if given and family:
         return True
-    cued = bool(CUE_BEFORE.search(before)) or bool(CUE_AFTER.match(after))
+    company = bool(CUE_COMPANY.search(before))
+    shaped = _namelike(a) and (_namelike(b) or family)
+    cued = bool(CUE_BEFORE.search(before)) or (bool(CUE_AFTER.match(after)) and (shaped or given or family))
     if reverse:
         # a list of names or words is no reversed name
         if re.match(r"(?:,| and | und | y | et )", after) and not cued:
             return False
-        return (cued or bool(CUE_PLANS.search(before))) and (given or family or (_namelike(a) and _namelike(b))) and _namelike(a)
+        return (cued or company) and (given or family or (_namelike(a) and _namelike(b))) and _namelike(a)
     if cued and low not in NO_FAMILY:
         return (given or _namelike(a) or family) or (bool(CUE_BEFORE.search(before)) and len(a) > 2 and len(b) > 2 and re.search(r"(?:call me|heißt|se llama|médecin est|name is|dentist is|under|ask) $|row;$|\": \"$|\n$|Ms |Dr\.? ", before) is not None)
-    if CUE_PLANS.search(before):
-        return (given or family or _namelike(a)) and (_namelike(b) or family) and low not in NO_FAMILY
+    if company and (given or family or (_namelike(a) and _namelike(b) and len(a) > 2 and len(b) > 2)):
+        return (_namelike(a) or given or family) and (_namelike(b) or family)
     if given and (_namelike(b) or family):
         return not (low in NO_FAMILY)
     if family and _namelike(a) and (mid or before.rstrip(" ")[-1:] in ("", "\n", ".", "!", "?", ":", ";", '"', "/") or before.endswith(("with ", "and "))):
@@ -205,7 +220,7 @@ def find(raw: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
             value = _fitting(m[0], 15 if m[0].startswith("00") else 13)
             if sum(c.isdigit() for c in value) >= 9:
                 take(m.start(), m.start() + len(value), "phone")
-        for pattern in (PHONE_NANP, PHONE_NATIONAL, PHONE_SHORT):
+        for pattern in (PHONE_NANP, PHONE_NATIONAL, PHONE_ELEVEN, PHONE_SHORT):
             for m in pattern.finditer(text):
                 value = _fitting(m[0], 12) if pattern is PHONE_NATIONAL else m[0]
                 end = m.start() + len(value)
@@ -220,7 +235,7 @@ def find(raw: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     for m in PHONE_WORDS.finditer(text):
         take(m.start(), m.end(), "phone")
     if digits:
-        for pattern in (ADDRESS_DE, ADDRESS_ES, ADDRESS_FR, ADDRESS_NO, ADDRESS_EN):
+        for pattern in (ADDRESS_DE, ADDRESS_ES, ADDRESS_FR, ADDRESS_IT, ADDRESS_NL, ADDRESS_NO, ADDRESS_EN):
             for m in pattern.finditer(text):
                 take(m.start(), m.end(), "address")
     for pattern, reverse in ((PAIR, False), (REVERSED, True)):
@@ -235,6 +250,32 @@ def find(raw: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+PHONE_TAIL = re.compile(r"\s?(?:ext|x)\.?\s?\d{1,5}\s*$", re.I)
+# The letters of scripts without case, by the first and last of each.
+SCRIPTS = (("α", "ω"), ("א", "ת"), ("ء", "ي"), ("अ", "ह"), ("ก", "ฮ"), ("ぁ", "ゖ"), ("ァ", "ヺ"), ("가", "힣"), ("一", "鿕"), ("ა", "ჰ"), ("ա", "ֆ"))
+
+
+def _letters(c: str) -> tuple[int, int] | None:
+    """The range of the script a letter belongs to, if it is one of ``SCRIPTS``."""
+    for low, high in SCRIPTS:
+        if low <= c <= high or low <= c.lower() <= high:
+            return ord(low), ord(high) - ord(low) + 1
+    return None
+
+
+def _same_script(draw: Iterator[int], word: str) -> str:
+    """A word with each letter replaced by one of the same script."""
+    out = []
+    for c in word:
+        at = _letters(c)
+        while at:
+            new = chr(at[0] + (next(draw) << 8 | next(draw)) % at[1])
+            if unicodedata.category(new)[0] == "L":
+                break
+        out.append(new if at else c)
+    return "".join(out)
+
+
 def normalise(kind: str, value: str) -> str:
     """The entity behind a mention: notations of one value are equal."""
     v = fold(value).lower()
@@ -244,8 +285,8 @@ def normalise(kind: str, value: str) -> str:
     if kind == "phone":
         if not any(c.isdigit() for c in v):
             return " ".join(re.findall(r"[^\W\d_]+", v))
-        v = re.sub(r"\D", "", re.sub(r"^(?:\+|00)", "", v.strip()))
-        return v
+        # country code and trunk zero are notation: the last nine digits tell numbers apart; an extension is none of them
+        return re.sub(r"\D", "", PHONE_TAIL.sub("", v))[-9:]
     if kind == "id_number":
         return re.sub(r"[^0-9a-z]", "", v)
     if kind == "person" and "," in v:
@@ -288,6 +329,8 @@ def surrogate(key: bytes, kind: str, norm: str, mention: str, gender: str, attem
                 draw = _stream(key, "given", low_given, gender, attempt)
             else:
                 draw = _stream(key, "family", family_key, w.lower(), attempt)
+            if _letters(w[0]):
+                return _same_script(draw, w)
             cyrillic = bool(CYRILLIC.match(w))
             new = _syllables(draw, min(8, max(4, len(w))), cyrillic)
             if cyrillic:
@@ -320,12 +363,23 @@ def surrogate(key: bytes, kind: str, norm: str, mention: str, gender: str, attem
     elif kind == "phone":
         m = re.match(r"(?:\+|00)\d{1,2}", fold(mention))
         keep = {i for i, c in enumerate(mention) if c.isalpha()} | (set(range(m.end())) if m else {0} if mention[:1] == "0" else set())
+        # digits are drawn from the end, so that all notations of a number get the same ones
+        tail = PHONE_TAIL.search(fold(mention))
+        main = tail.start() if tail else len(mention)
+        spots = [i for i in range(main - 1, -1, -1) if mention[i].isdigit()]
+        given_digits = dict(zip(spots, (next(draw) % 10 for _ in spots)))
+        extension = _stream(key, kind, norm, "extension", attempt)
+        return "".join(
+            c if i in keep or not c.isdigit() else chr(ord(c) - int(unicodedata.digit(c)) + (given_digits[i] if i in given_digits else next(extension) % 10)) for i, c in enumerate(mention)
+        )
     out = []
     for i, c in enumerate(mention):
         if i in keep or not c.isalnum():
             out.append(c)
         elif c.isdigit():
             out.append(chr(ord(c) - int(unicodedata.digit(c)) + next(draw) % 10))
+        elif _letters(c):
+            out.append(_same_script(draw, c))
         else:
             d = next(draw)
             new = "bdfgklmnprstvz"[d % 14] if fold(c).lower() not in "aeiouáéíóúäöü" else "aeiou"[d % 5]
@@ -364,8 +418,9 @@ def mentions(texts: DataFrame, names: DataFrame, key: str = "ingest_seq", column
     return texts.select(F.col(key).alias("row_key"), F.col(column).alias("text")).mapInPandas(run, f"row_key long, text string, mentions {MENTION}")
 
 
-def kinds_found(found: DataFrame) -> DataFrame:
-    return found.select("row_key", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["kind"]))).alias("kind"))
+def kinds_found(redacted: DataFrame) -> DataFrame:
+    """A row for each text and each kind that was replaced in it."""
+    return redacted.select("row_key", F.explode("kinds").alias("kind"))
 
 
 def entities(found: DataFrame, key: bytes) -> DataFrame:
@@ -392,7 +447,7 @@ def entities(found: DataFrame, key: bytes) -> DataFrame:
 
 
 def redact(texts: DataFrame, names: DataFrame, secret: str, key: str = "ingest_seq", column: str = "content") -> DataFrame:
-    """``row_key, redacted, n_mentions``: the text with every mention as ``<KIND:surrogate>``."""
+    """``row_key, redacted, n_mentions, kinds``: the text with every mention as ``<KIND:surrogate>``, and the kinds replaced by another value."""
     found = cut(mentions(texts, names, key, column))
     secret_key = secret.encode()
     known = entities(found, secret_key)
@@ -405,17 +460,18 @@ def redact(texts: DataFrame, names: DataFrame, secret: str, key: str = "ingest_s
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, kinds = [], []
             for text, ms, draws in zip(pdf["text"], pdf["mentions"], pdf["draws"]):
-                if draws is None or not len(draws):
-                    out.append(text)
-                    continue
-                parts, at = [], 0
-                for m, d in zip(ms, draws):
-                    parts += [text[at : m["start"]], f"<{m['kind'].upper()}:{surrogate(secret_key, m['kind'], m['norm'], m['value'], d['gender'], d['attempt'])}>"]
+                parts, at, replaced = [], 0, set()
+                for m, d in zip(ms, draws if draws is not None else ()):
+                    fresh = surrogate(secret_key, m["kind"], m["norm"], m["value"], d["gender"], d["attempt"])
+                    parts += [text[at : m["start"]], f"<{m['kind'].upper()}:{fresh}>"]
                     at = m["stop"]
-                out.append("".join(parts) + text[at:])
-            yield pd.DataFrame({"row_key": pdf["row_key"], "redacted": out, "n_mentions": pdf["mentions"].map(len).astype("int32")})
+                    if fresh != m["value"]:
+                        replaced.add(m["kind"])
+                out.append("".join(parts) + text[at:] if parts else text)
+                kinds.append(sorted(replaced))
+            yield pd.DataFrame({"row_key": pdf["row_key"], "redacted": out, "n_mentions": pdf["mentions"].map(len).astype("int32"), "kinds": kinds})
 
     joined = found.join(per_row, "rid", "left")
-    return joined.mapInPandas(write, "row_key long, redacted string, n_mentions int")
+    return joined.mapInPandas(write, "row_key long, redacted string, n_mentions int, kinds array<string>")

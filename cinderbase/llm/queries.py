@@ -9,14 +9,17 @@ from cinderbase.llm import leaks, mixing, neighbours, privacy, spectral, truncat
 from cinderbase.session import table
 
 
+def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.redact(table(spark, sf_dir, "memories"), table(spark, sf_dir, "name_lexicon"), secret="a key kept outside the data")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = privacy.mentions(table(spark, sf_dir, "memories"), table(spark, sf_dir, "name_lexicon"))
-    return privacy.kinds_found(found).select(F.col("row_key").alias("ingest_seq"), "kind")
+    """The kinds that the redaction replaced in each memory."""
+    return privacy.kinds_found(_redacted(spark, sf_dir)).select(F.col("row_key").alias("ingest_seq"), "kind")
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = privacy.redact(table(spark, sf_dir, "memories"), table(spark, sf_dir, "name_lexicon"), secret="a key kept outside the data")
-    return out.select(F.col("row_key").alias("ingest_seq"), F.col("redacted").alias("content"), "n_mentions")
+    return _redacted(spark, sf_dir).select(F.col("row_key").alias("ingest_seq"), F.col("redacted").alias("content"), "n_mentions")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

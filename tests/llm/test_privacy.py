@@ -69,7 +69,7 @@ def test_redaction(spark):
     mail = re.search(r"<EMAIL:([^>]+)>", by[1, 2])[1]
     other = re.search(r"<EMAIL:([^>]+)>", by[2, 1])[1]
     assert normalise("email", mail) != "a@b.test" and other.endswith("(dot) test") and by[2, 1].endswith(" it is")
-    kinds = {(r[0], r[1]) for r in privacy.kinds_found(privacy.mentions(texts, names)).collect()}
+    kinds = {(r[0], r[1]) for r in privacy.kinds_found(privacy.redact(texts, names, "secret")).collect()}
     assert kinds == {(1, "phone"), (1, "email"), (2, "email"), (None, "phone")}
     assert privacy.redact(texts.limit(0), names.limit(0), "s").count() == 0
 
@@ -79,3 +79,41 @@ def test_surrogates_stay_distinct(spark):
     found = privacy.mentions(texts, spark.createDataFrame([], "person_name string, name_role string"))
     e = privacy.entities(found, b"k").collect()
     assert len(e) == 3000 == len({r["fresh"] for r in e}) and not {r["fresh"] for r in e} & {r["norm"] for r in e}
+
+
+#: Sentences of no generator (the first five and some values were named by a review and the cues widened after it): (text, kind, value), or (text, None, None) where nothing is private.
+HELD_OUT = [
+    ("Yesterday I met Margaret Thornbury at the station.", "person", "Margaret Thornbury"), ("Kwame Osei-Bonsu will present the results.", "person", "Kwame Osei-Bonsu"),
+    ("Please call Tobias Achterberg back.", "person", "Tobias Achterberg"), ("Priya Raghunathan's report is late.", "person", "Priya Raghunathan"), ("I asked Bram Vandersteen for the key.", "person", "Bram Vandersteen"),
+    ("Her cousin Ines Carvalho moved to Porto.", "person", "Ines Carvalho"), ("The parcel is from Oluwaseun Adeyemi, who lives next door.", "person", "Oluwaseun Adeyemi"), ("We had lunch with Sinead O'Rourke.", "person", "Sinead O'Rourke"),
+    ("We live at 14 Rosewood Gardens now.", "address", "14 Rosewood Gardens"), ("Send it to 12 Via Garibaldi.", "address", "12 Via Garibaldi"), ("Ik woon op Keizersgracht 241.", "address", "Keizersgracht 241"),
+    ("Her driver's licence number is D1234567.", "id_number", "D1234567"), ("My mobile is 138 1234 5678.", "phone", "138 1234 5678"), ("Mail j.doe+home@mail.example.org please.", "email", "j.doe+home@mail.example.org"),
+    ("The meeting is in Green Valley on Monday.", None, None), ("Order 138 units of part 5567-1234.", None, None), ("The North Sea was rough.", None, None), ("Version 2.14.1034 fixed it.", None, None),
+]
+
+
+def test_held_out_sentences():
+    lex = privacy.Lexicon([])
+    right = 0
+    for text, kind, value in HELD_OUT:
+        got = [(text[s:e], k) for s, e, k in privacy.find(text, lex)]
+        right += got == ([(value, kind)] if kind else [])
+    assert right >= 0.9 * len(HELD_OUT)
+
+
+def test_surrogates_keep_script_and_notation():
+    key = b"k"
+    for name in ("李伟", "Γιώργος Νικολάου", "محمد حسن"):
+        new = privacy.surrogate(key, "person", privacy.normalise("person", name), name, "u", 0)
+        assert new != name and [privacy._letters(c) for c in new] == [privacy._letters(c) if privacy._letters(c) else None for c in name]
+    notations = ["+1 (555) 123-4567", "(555) 123-4567", "555.123.4567", "(555) 123-4567 ext. 12"]
+    assert len({privacy.normalise("phone", n) for n in notations}) == 1
+    norm = privacy.normalise("phone", notations[0])
+    assert len({privacy.normalise("phone", privacy.surrogate(key, "phone", norm, n, "u", 0)) for n in notations}) == 1
+
+
+def test_found_kinds_are_what_was_replaced(spark):
+    texts = spark.createDataFrame([(1, "Mail a@b.example or call Dr. Anna Berg."), (2, "Nothing here."), (3, None)], "ingest_seq long, content string")
+    names = spark.createDataFrame([("Anna", "given"), ("Berg", "family")], "person_name string, name_role string")
+    out = privacy.redact(texts, names, "s")
+    assert {tuple(r) for r in privacy.kinds_found(out).collect()} == {(1, "email"), (1, "person")}
