@@ -13,6 +13,11 @@ from cinderbase.config import DEFAULT, Config
 from cinderbase.functions import decay
 
 
+def touching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The edges that leave a seed ``src``; as the seeds are a semi join, Catalyst puts them below an aggregation of the edges."""
+    return edges.join(seeds.select("src").distinct(), "src", "left_semi")
+
+
 def live_edges(edges: DataFrame, now: int, least: float, cfg: Config = DEFAULT) -> DataFrame:
     """Edges whose decayed weight is at least ``least``."""
     w = decay.link_weight(F.col("weight"), now, F.col("used_us"), cfg)
@@ -30,13 +35,35 @@ def expand(direct: DataFrame, edges: DataFrame, memories: DataFrame, now: int, c
     Targets must exist and be no stub; cold and superseded ones count.
     """
     seeds = direct.select("query", F.col("ingest_seq").alias("src"), "rank")
-    found = live_edges(edges, now, cfg.association_retrieval_threshold, cfg).join(seeds, "src")
+    found = live_edges(touching(edges, seeds), now, cfg.association_retrieval_threshold, cfg).join(seeds, "src")
     found = found.join(memories.where("NOT is_stub").select(F.col("ingest_seq").alias("dst")), "dst", "left_semi")
     found = found.join(direct.select("query", F.col("ingest_seq").alias("dst")), ["query", "dst"], "left_anti")
     found = first_discoverer(found, ["query", "dst"], ["rank", "created_us", "dst"])
     return found.select("query", F.col("dst").alias("ingest_seq"), F.col("w").alias("link"))
 
 
+def discover(direct: DataFrame, seen: DataFrame, edges: DataFrame, memories: DataFrame, now: int, cfg: Config = DEFAULT) -> DataFrame:
+    """Rows beyond those ``seen``, reached from the direct results in up to ``graph_expansion_hops``: ``query, ingest_seq, link``.
+
+    The walk goes on only from rows it has discovered itself, over edges from ``min_bridge_edge_weight``; a row is
+    found by its first discoverer, in the order in which those were found.
+    """
+    order = ["order", "created_us", "dst"]
+    live = memories.where("NOT is_stub").select(F.col("ingest_seq").alias("dst"))
+    at, out = direct.select("query", F.col("ingest_seq").alias("src"), F.col("rank").alias("order")), None
+    seen = seen.select("query", F.col("ingest_seq").alias("dst"))
+    for _ in range(cfg.graph_expansion_hops):
+        step = live_edges(touching(edges, at), now, cfg.min_bridge_edge_weight, cfg).join(at, "src")
+        step = step.join(live, "dst", "left_semi").join(seen, ["query", "dst"], "left_anti")
+        step = first_discoverer(step, ["query", "dst"], order)
+        step = step.withColumn("order", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
+        found = step.select("query", F.col("dst").alias("ingest_seq"), F.col("w").alias("link"))
+        out = found if out is None else out.unionByName(found)
+        at = step.select("query", F.col("dst").alias("src"), "order")
+        seen = seen.unionByName(step.select("query", "dst"))
+    return out
+
+
 def frontier(anchors: DataFrame, edges: DataFrame, now: int, hops: int, least: float, cfg: Config = DEFAULT) -> DataFrame:
     """Vertices newly reached within ``hops`` of the anchors ``query, ingest_seq``: ``query, ingest_seq, hop, link`` (the last edge's weight)."""
     live = live_edges(edges, now, least, cfg)
@@ -73,6 +100,6 @@ def bridges(pairs: DataFrame, edges: DataFrame, now: int, least: float, max_edge
 def strongest(seeds: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """Neighbours of all seeds over links in either direction, with the highest strength of each."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionAll(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
-    near = both.join(seeds.select(F.col("ingest_seq").alias("a")), "a", "left_semi").where(F.col("weight") >= least)
+    near = both.join(seeds.select(F.col("ingest_seq").alias("a")).distinct(), "a", "left_semi").where(F.col("weight") >= least)
     near = near.groupBy(F.col("b").alias("ingest_seq")).agg(F.max("weight").alias("strength"))
     return near.join(seeds.select("ingest_seq"), "ingest_seq", "left_anti")

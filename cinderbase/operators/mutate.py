@@ -9,12 +9,16 @@ from cinderbase.config import DEFAULT, Config
 from cinderbase.functions import decay, text
 
 
-def apply_delta(snapshot: DataFrame, delta: DataFrame, key: str = "ingest_seq") -> DataFrame:
-    """The snapshot with the delta's columns replaced where they are not null; unknown keys of the delta have no effect."""
+def apply_delta(snapshot: DataFrame, delta: DataFrame, key: str = "ingest_seq", nulls: tuple[str, ...] = ()) -> DataFrame:
+    """The snapshot with the delta's columns replaced where they are not null; those named in ``nulls`` are replaced by nulls too.
+
+    Unknown keys of the delta have no effect.
+    """
     changed = [c for c in delta.columns if c != key]
-    renamed = delta.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in changed])
+    renamed = delta.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in changed], F.lit(True).alias("_hit"))
     joined = snapshot.join(renamed, key, "left")
-    return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in changed else F.col(c) for c in snapshot.columns])
+    new = lambda c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in nulls else F.coalesce(F.col(f"_new_{c}"), F.col(c))
+    return joined.select(*[new(c).alias(c) if c in changed else F.col(c) for c in snapshot.columns])
 
 
 def delete(snapshot: DataFrame, ids: DataFrame, key: str = "ingest_seq") -> DataFrame:

@@ -26,3 +26,9 @@ def group_summary(m: DataFrame, typical: int = 0) -> DataFrame:
     return m.groupBy("category").agg(
         F.count("*").alias("n"), F.max("importance").alias("importance"), F.round(F.avg("stability"), 6).alias("stability"), F.max("access_count").alias("access_count")
     )
+
+
+def token_usage(calls: DataFrame, *by: str) -> DataFrame:
+    """Tokens of model calls ``prompt_tokens, completion_tokens``, summed over the stages of each key."""
+    both = F.coalesce("prompt_tokens", F.lit(0)), F.coalesce("completion_tokens", F.lit(0))
+    return calls.groupBy(*by).agg(F.sum(both[0]).alias("prompt_tokens"), F.sum(both[1]).alias("completion_tokens"), F.sum(both[0] + both[1]).alias("total_tokens"))

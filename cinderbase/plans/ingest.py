@@ -48,6 +48,14 @@ def batch_links(memories: DataFrame, batch: str, cfg: Config = DEFAULT) -> DataF
     return pairs.select("batch", "a", "b", F.round(decay.ingestion_weight(F.col("sim"), cfg), 6).alias("weight"))
 
 
+EXTRACTION = "Extract the memories of this conversation as a JSON array of objects with content, category, importance, memory_type, valid_until and ttl_seconds.\n{custom}{conversation}"
+
+
+def extraction_prompt(conversation: Column, custom: str = "") -> Column:
+    """The prompt for one conversation; custom instructions stand before it."""
+    return text.prompt(EXTRACTION, custom=F.lit(f"{custom.strip()}\n" if custom.strip() else ""), conversation=conversation)
+
+
 def extract(conversations: DataFrame, complete: Callable[[str], str], column: str = "conversation_text") -> DataFrame:
     """Ask an injected model for each conversation, in Arrow batches; the reply is a column."""
     @F.pandas_udf("string")

@@ -28,14 +28,20 @@ def fading_links(m: DataFrame, now: int, min_sim: float, cfg: Config = DEFAULT)
 
 
 def components(rows: DataFrame, min_sim: float) -> DataFrame:
-    """The connected component of each row of ``grp, id, vec`` within its group: ``grp, id, vec, label``."""
-    rows = cut(rows.withColumn("label", F.col("id")))
+    """The connected component of each row of ``grp, id, vec`` within its group: ``grp, id, vec, label``.
+
+    Rows are compared once; what is kept is a spanning forest of each pair of blocks, along which labels are propagated.
+    """
+    rows = cut(rows)
+    one = similarity.spanning_edges(rows, min_sim)
+    edges = cut(one.unionByName(one.select("grp", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(rows.select("grp", "id", F.col("id").alias("label")))
     while True:
-        low = similarity.links(rows, min_sim)
-        new = cut(rows.join(low, ["grp", "id"], "left").select("grp", "id", "vec", F.coalesce("least_label", "label").alias("label"), (F.col("least_label") < F.col("label")).alias("moved")))
-        rows = new.drop("moved")
+        low = edges.join(labels.select("grp", F.col("id").alias("b"), F.col("label").alias("other")), ["grp", "b"]).groupBy("grp", F.col("a").alias("id")).agg(F.min("other").alias("other"))
+        new = cut(labels.join(low, ["grp", "id"], "left").select("grp", "id", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("moved")))
+        labels = new.drop("moved")
         if new.where("moved").isEmpty():
-            return rows
+            return rows.join(labels, ["grp", "id"])
 
 
 def _greedy(size: int, min_sim: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -69,14 +75,22 @@ def greedy_groups(m: DataFrame, now: int, cfg: Config = DEFAULT) -> DataFrame:
     return parts.groupBy("grp", "label").applyInPandas(_greedy(cfg.consolidation_group_size, cfg.consolidation_similarity_threshold), "category string, seed long, ingest_seq long, place int")
 
 
-def consolidate(m: DataFrame, now: int, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Summaries of the groups, the delta of their originals (superseded, cold) and the summaries' links."""
-    groups = greedy_groups(m, now, cfg)
+def consolidate(m: DataFrame, now: int, cfg: Config = DEFAULT, compress: Callable[[list[str]], str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Summaries of the groups, the delta of their originals (superseded, cold) and the summaries' links.
+
+    ``compress`` makes a summary's content from the contents of its group (of ``consolidation_group_size``); by default they are joined.
+    """
+    groups = cut(greedy_groups(m, now, cfg))
     rows = groups.join(m.drop("category"), "ingest_seq")
     summaries = rows.groupBy("category", "seed").agg(
-        F.concat(F.lit("Summary: "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda t: F.coalesce(t["content"], F.lit(""))), " | ")).alias("content"),
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda t: F.coalesce(t["content"], F.lit(""))).alias("content"),
         F.max("importance").alias("importance"), F.avg("stability").alias("stability"), F.max("access_count").alias("access_count"),
     )
+    if compress is None:
+        joined = F.concat(F.lit("Summary: "), F.array_join("content", " | "))
+    else:
+        joined = F.pandas_udf(lambda groups: groups.map(lambda g: compress(list(g))), "string")(F.col("content"))
+    summaries = cut(summaries.withColumn("content", joined))
     summaries = summaries.withColumns({"id": F.concat(F.lit("summary-"), F.md5(F.concat_ws(":", "category", "seed"))), "created_us": F.lit(now), "accessed_us": F.lit(now), "vec": vector.hash_embed(F.col("content"), 64).cast("array<float>")})
     delta = groups.select("ingest_seq", F.lit(True).alias("is_superseded"), F.lit(True).alias("is_cold"), F.lit(now).alias("cold_us"))
     links = groups.join(summaries.select("category", "seed", "id"), ["category", "seed"]).select(F.col("id").alias("src"), F.col("ingest_seq").alias("dst"), F.lit(0.8).alias("weight"))
@@ -92,6 +106,16 @@ def report(m: DataFrame, now: int, cfg: Config = DEFAULT) -> DataFrame:
     return other.join(groups, "category", "left").select("category", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce("n_compressed", F.lit(0)).alias("n_compressed"), "n_promotable", "n_very_faded")
 
 
+def report_rows(m: DataFrame, now: int, cfg: Config = DEFAULT) -> DataFrame:
+    """The report with its lists: ``action, category, seed, ingest_seq`` for rows that are compressed (by their group's seed), promotable, or deleted as very faded."""
+    compressed = greedy_groups(m, now, cfg).select(F.lit("compress").alias("action"), "category", "seed", "ingest_seq")
+    kept, idle = decay.retention(now, cfg), decay.days_between(now, F.coalesce("accessed_us", "created_us"))
+    none = F.lit(None).cast("long").alias("seed")
+    promoted = m.where(decay.promotable(cfg)).select(F.lit("promote").alias("action"), "category", none, "ingest_seq")
+    gone = m.where((kept < 0.05) & (idle > 30) & ~F.col("is_superseded") & ~F.col("is_stub")).select(F.lit("delete").alias("action"), "category", none, "ingest_seq")
+    return compressed.unionByName(promoted).unionByName(gone)
+
+
 def tag_conflicts(near: DataFrame, roots: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Of near pairs ``query, id, sim``: the conflict queue, and the rows reinforced with how often.
 

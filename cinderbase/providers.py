@@ -35,6 +35,33 @@ class SeededEmbedder:
         return out
 
 
+class HashEmbedder:
+    """A unit vector from two 32-bit hashes of the text's UTF-16 units and a shift register; constants and shifts are fixed values."""
+
+    def __init__(self, dimensions: int = 128):
+        self.dimensions = dimensions
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        mask = 0xFFFFFFFF
+        states = np.zeros(len(texts), np.int64)
+        for n, t in enumerate(texts):
+            first, second = 0x811C9DC5, 0x01000193
+            for unit in np.frombuffer(t.encode("utf-16-le"), np.uint16).tolist():
+                first, second = ((first ^ unit) * 0x01000193) & mask, ((second ^ unit) * 0x811C9DC5) & mask
+            states[n] = first ^ second
+        columns = []
+        for _ in range(self.dimensions):
+            # shifts of 32-bit numbers; the one to the right keeps the sign
+            states = (states ^ (states << 13)) & mask
+            signed = np.where(states >= 1 << 31, states - (1 << 32), states)
+            states = (states ^ (signed >> 17)) & mask
+            states = (states ^ (states << 5)) & mask
+            columns.append(states / mask * 2 - 1)
+        v = np.stack(columns, axis=1) if len(texts) else np.zeros((0, self.dimensions))
+        length = np.linalg.norm(v, axis=1, keepdims=True)
+        return (v / np.where(length == 0, 1, length)).tolist()
+
+
 class Retrying:
     """An embedder tried again a few times, with growing pauses."""
 

@@ -12,7 +12,7 @@ from cinderbase.config import DEFAULT
 from cinderbase.functions import decay, text, vector
 from cinderbase.operators import changefeed, graph, lexical, mutate, similarity, statistics
 from cinderbase.plans import ingest, maintain, search
-from cinderbase.providers import SeededEmbedder, embed, fixed_reply
+from cinderbase.providers import HashEmbedder, SeededEmbedder, embed, fixed_reply
 from cinderbase.queries_general import P5_SQL
 from cinderbase.session import scratch, table
 from cinderbase.sources import store
@@ -239,7 +239,7 @@ def jsonl_compact(s, d):
     return kept.crossJoin(log.agg(F.count("*").alias("n"))).select("kept", (F.col("n") - F.col("kept")).alias("dropped"))
 
 
-@q("jsonl_roundtrip")
+@q("jsonl_roundtrip", f"{WITH} SELECT id, arg_max(category, ingest_seq) AS category, arg_max(importance, ingest_seq) AS importance FROM store GROUP BY id")
 def jsonl_roundtrip(s, d):
     path = scratch(s, "jsonl")
     rows = m(s, d).select(F.lit("memory").alias("type"), "id", "content", "category", "importance", "stability")
@@ -332,6 +332,12 @@ def hash_embed_numpy(s, d):
     return rows.select("ingest_seq", F.size("v").alias("dims"), R6(vector.norm(F.col("v"))).alias("length"))
 
 
+@q("hash_embed_128")
+def hash_embed_128(s, d):
+    rows = table(s, d, "memories").where("content IS NOT NULL").select("ingest_seq", embed(F.col("content"), HashEmbedder()).alias("v"))
+    return rows.select("ingest_seq", F.size("v").alias("dims"), R6(F.get("v", F.lit(0))).alias("first"), R6(vector.norm(F.col("v"))).alias("length"))
+
+
 # --- text ----------------------------------------------------------------------------------------
 @q("tokenize", r"SELECT ingest_seq, len(t)::INTEGER AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT ingest_seq, [x FOR x IN regexp_split_to_array(lower(content), '\s+') IF x <> ''] AS t FROM memories WHERE content IS NOT NULL)")
 def tokenize(s, d):
@@ -546,7 +552,7 @@ def boost_replay(s, d):
 
 
 # --- search --------------------------------------------------------------------------------------
-def search_sql(deep: bool = False, words: str | None = None, tail: str = "") -> str:
+def search_sql(deep: bool = False, words: str | None = None, tail: str = "", hops: int = 0, least: str = "5e-2", k_rerank: int = 0) -> str:
     elig = f"vec IS NOT NULL AND {HOT}" + ("" if deep else " AND NOT is_superseded")
     ctes = [STORE, EDGES, QV, f"sims AS (SELECT query, ingest_seq, {COS} AS sim FROM store, qv WHERE {elig})",
             "dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, ingest_seq) AS rank FROM sims) WHERE rank <= 30)"]
@@ -559,11 +565,26 @@ def search_sql(deep: bool = False, words: str | None = None, tail: str = "") ->
     ctes += [
         f"scored AS (SELECT query, ingest_seq, sim, {ret_sql(NOW)} AS r, {expired_sql(NOW)} AS late, is_superseded FROM cand JOIN store USING (ingest_seq))",
         f"okay AS (SELECT query, ingest_seq, sim, round(sim * pow(r, 3e-1) * {penalty}, 6) AS score, {'late OR is_superseded' if deep else 'false'} AS deep FROM scored {'' if deep else 'WHERE NOT late'})",
-        "direct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ingest_seq) AS rank FROM okay) WHERE rank <= 10)",
+        "byscore AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ingest_seq) AS rank FROM okay)",
+        f"""placed AS (SELECT b.* EXCLUDE (rank), row_number() OVER (PARTITION BY query ORDER BY CASE WHEN rank <= {k_rerank} THEN 0 ELSE 1 END,
+          CASE WHEN rank <= {k_rerank} THEN -coalesce(length(content), 0) END, rank) AS rank FROM byscore b JOIN store USING (ingest_seq))""" if k_rerank else "placed AS (SELECT * FROM byscore)",
+        "direct AS (SELECT * FROM placed WHERE rank <= 10)",
         f"live AS (SELECT src, dst, coalesce(weight * exp(-greatest(0e0, ({NOW} - used_us) / 864e8) / 90e0), weight) AS w, created_us FROM edges)",
         """hop AS (SELECT d.query, l.dst AS ingest_seq, l.w, row_number() OVER (PARTITION BY d.query, l.dst ORDER BY d.rank, l.created_us, l.dst) AS rn FROM direct d JOIN live l ON l.src = d.ingest_seq
           JOIN store t ON t.ingest_seq = l.dst WHERE l.w >= 3e-1 AND NOT t.is_stub AND NOT EXISTS (SELECT 1 FROM direct x WHERE x.query = d.query AND x.ingest_seq = l.dst))""",
-        f"assoc AS (SELECT h.query, h.ingest_seq, coalesce({COS}, 1e-1) AS sim, {ret_sql(NOW)} AS r, h.w FROM hop h JOIN store s USING (ingest_seq) JOIN qv ON qv.query = h.query WHERE h.rn = 1)",
+        "found0 AS (SELECT query, ingest_seq, w FROM hop WHERE rn = 1)",
+    ]
+    for n in range(1, hops + 1):
+        source = "(SELECT query, ingest_seq, rank AS ord FROM direct)" if n == 1 else f"step{n - 1}"
+        ctes += [
+            f"""cand{n} AS (SELECT p.query, l.dst AS ingest_seq, l.w, p.ord AS parent, l.created_us, row_number() OVER (PARTITION BY p.query, l.dst ORDER BY p.ord, l.created_us, l.dst) AS rn
+              FROM {source} p JOIN live l ON l.src = p.ingest_seq JOIN store t ON t.ingest_seq = l.dst WHERE l.w >= {least} AND NOT t.is_stub
+              AND NOT EXISTS (SELECT 1 FROM direct x WHERE x.query = p.query AND x.ingest_seq = l.dst) AND NOT EXISTS (SELECT 1 FROM found{n - 1} x WHERE x.query = p.query AND x.ingest_seq = l.dst))""",
+            f"step{n} AS (SELECT query, ingest_seq, w, row_number() OVER (PARTITION BY query ORDER BY parent, created_us, ingest_seq) AS ord FROM cand{n} WHERE rn = 1)",
+            f"found{n} AS (SELECT query, ingest_seq, w FROM found{n - 1} UNION ALL SELECT query, ingest_seq, w FROM step{n})",
+        ]
+    ctes += [
+        f"assoc AS (SELECT h.query, h.ingest_seq, coalesce({COS}, 1e-1) AS sim, {ret_sql(NOW)} AS r, h.w FROM found{hops} h JOIN store s USING (ingest_seq) JOIN qv ON qv.query = h.query)",
         "every AS (SELECT query, ingest_seq, sim, score, deep, false AS associative FROM direct UNION ALL SELECT query, ingest_seq, sim, round(sim * pow(r, 3e-1) * w, 6), false, true FROM assoc)",
         "final AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, associative, ingest_seq) AS rank FROM every)",
     ]
@@ -673,8 +694,61 @@ def linked_multi(s, d, ask=query_vectors):
     return graph.strongest(_search(s, d, ask).direct.select("ingest_seq").distinct(), store.edges(s, d), 0.3)
 
 
+GRAPH = replace(DEFAULT, graph_expansion_hops=2, min_bridge_edge_weight=0.05)
+BRIDGE = replace(DEFAULT, bridge_discovery=True, min_bridge_edge_weight=0.001)
+RERANK = replace(DEFAULT, rerank_enabled=True, k_rerank=20)
+
+
+@q("search_graph", search_sql(hops=2))
+def search_graph(s, d, ask=query_vectors):
+    """A search whose walk goes on over weak links, two hops from the direct results."""
+    return _search(s, d, ask, cfg=GRAPH).results.select(*_OUT)
+
+
+def _search_bridge_sql() -> str:
+    out = ["b0 AS (SELECT x.query, x.rank, y.rank AS rank_b, x.ingest_seq AS start, y.ingest_seq AS goal, x.ingest_seq AS v, [x.ingest_seq] AS path FROM direct x JOIN direct y ON x.query = y.query AND x.rank < y.rank AND y.rank <= 3)"]
+    for k in range(1, 5):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM b{j} z WHERE z.query = a.query AND z.start = a.start AND z.goal = a.goal AND z.v = e.dst)" for j in range(k))
+        out.append(f"b{k} AS (SELECT a.query, a.rank, a.rank_b, a.start, a.goal, e.dst AS v, min(list_append(a.path, e.dst)) AS path FROM b{k - 1} a JOIN live e ON e.src = a.v WHERE e.w >= 1e-3 AND a.v <> a.goal {seen} GROUP BY 1, 2, 3, 4, 5, 6)")
+    found = " UNION ALL ".join(f"SELECT query, start, goal, path FROM b{k} WHERE v = goal" for k in range(1, 5))
+    return search_sql(tail=f", {', '.join(out)} SELECT query, start, goal, array_to_string(path, '>') AS path FROM ({found}) WHERE len(path) > 2")
+
+
+@q("search_bridge", _search_bridge_sql())
+def search_bridge(s, d, ask=query_vectors):
+    """Evidence chains between the first three results of each query."""
+    found = _search(s, d, ask, cfg=BRIDGE).bridges
+    return found.select("query", "start", "goal", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+def _longest_first(text: str, contents: list[str]) -> list[int]:
+    """A stand-in for a ranking model."""
+    return sorted(range(len(contents)), key=lambda i: (-len(contents[i]), i))
+
+
+@q("search_rerank", search_sql(k_rerank=20, tail="SELECT query, ingest_seq, score, rank FROM direct"))
+def search_rerank(s, d, ask=query_vectors):
+    """Direct results after a model has put the first twenty candidates in its order."""
+    return _search(s, d, ask, cfg=RERANK, ranker=_longest_first).direct.select("query", "ingest_seq", "score", "rank")
+
+
+@q("search_trace", search_sql(words=WORDS, tail="""SELECT query, 'vector_search' AS stage, count(*) AS n FROM dense GROUP BY query UNION ALL
+  SELECT c.query, 'lexical_search', count(*) FROM cand c WHERE NOT EXISTS (SELECT 1 FROM dense d WHERE d.query = c.query AND d.ingest_seq = c.ingest_seq) GROUP BY c.query UNION ALL
+  SELECT query, 'scoring', count(*) FROM okay GROUP BY query UNION ALL SELECT query, 'direct', count(*) FROM direct GROUP BY query UNION ALL SELECT query, 'results', count(*) FROM final WHERE rank <= 10 GROUP BY query"""))
+def search_trace(s, d, ask=query_vectors):
+    return _search(s, d, ask, text=WORDS).trace()
+
+
+@q("token_usage", r"""SELECT user_id, sum(len(regexp_split_to_array(conversation_text, '\s+')))::BIGINT AS prompt_tokens, (2 * count(*))::BIGINT AS completion_tokens,
+  (sum(len(regexp_split_to_array(conversation_text, '\s+'))) + 2 * count(*))::BIGINT AS total_tokens FROM conversation_text WHERE conversation_text IS NOT NULL GROUP BY user_id""")
+def token_usage(s, d):
+    """What a model's calls used per user; words stand for tokens and each reply has two."""
+    calls = table(s, d, "conversation_text").where("conversation_text IS NOT NULL")
+    return statistics.token_usage(calls.select("user_id", F.size(F.split("conversation_text", r"\s+")).alias("prompt_tokens"), F.lit(2).alias("completion_tokens")), "user_id")
+
+
 #: The searches above ask for three vectors at every size; these ask for the whole batch.
-BATCHED = ("cosine", "euclidean", "vector_topk", "search_direct", "search", "search_deep", "search_hybrid", "hybrid_union", "assoc_expand", "co_retrieval", "trace_counts", "retrieve", "rerank_permute", "linked_multi")
+BATCHED = ("cosine", "euclidean", "vector_topk", "search_direct", "search", "search_deep", "search_hybrid", "hybrid_union", "assoc_expand", "co_retrieval", "trace_counts", "retrieve", "rerank_permute", "linked_multi", "search_graph", "search_rerank")
 for _name in BATCHED:
     q(f"{_name}_batch", SQL[_name].replace(QV, QV_BATCH))(lambda s, d, f=QUERIES[_name]: f(s, d, query_batch))
 
@@ -809,7 +883,8 @@ def synaptic_tagging(s, d):
     return ingest.batch_links(rows, "conv_id")
 
 
-@q("ingest_semantic_stub")
+@q("ingest_semantic_stub", """SELECT conv_id, pos::INTEGER AS pos, content, category, importance, 1e-1 + 3e-1 * importance AS stability, memory_type, ttl_seconds::INTEGER AS ttl_seconds
+  FROM conversation_text, (VALUES (0, 'Likes tea', 'semantic', 8e-1, 'preference', NULL), (1, 'Trip on Monday', 'episodic', 5e-1, 'plan', 3600)) AS r(pos, content, category, importance, memory_type, ttl_seconds) WHERE conversation_text IS NOT NULL""")
 def ingest_semantic_stub(s, d):
     reply = fixed_reply([{"content": " Likes tea ", "category": "SEMANTIC", "importance": 0.8, "memory_type": "preference"}, {"content": "Trip on Monday", "importance": "x", "memory_type": "plan", "ttl_seconds": "3600"}])
     return ingest.build(ingest.extract(table(s, d, "conversation_text").select("conv_id", "conversation_text"), reply).select("conv_id", "reply"), F.col("reply")).select("conv_id", "pos", "content", "category", "importance", "stability", "memory_type", "ttl_seconds")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,11 @@ def filters(user: str | None = None, categories: tuple[str, ...] = (), min_reten
 
 
 class Snapshots:
-    """Versioned Parquet snapshots; a manifest names the current one, so a commit is one rename."""
+    """Versioned Parquet snapshots. A version counts once its manifest is there, and that appears by one rename.
+
+    A crash before the rename leaves files without a manifest, which the next commit overwrites; readers see
+    the version before throughout. Of two writers of one version the second fails.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -91,31 +96,30 @@ class Snapshots:
         return jvm, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        jvm, root, fs = self._fs()
-        at = jvm.org.apache.hadoop.fs.Path(root, "CURRENT")
-        if not fs.exists(at):
-            return 0
-        stream = fs.open(at)
-        try:
-            return int(json.loads(bytes(stream.readAllBytes()).decode())["version"])
-        finally:
-            stream.close()
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}")
+        """The highest version with a manifest; 0 if there is none."""
+        _, root, fs = self._fs()
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return max([0, *(int(n[9:]) for n in names if n.startswith("MANIFEST.") and n[9:].isdigit())])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/v{version or self.version()}")
 
     def commit(self, df: DataFrame) -> int:
-        """Write the next version and flip the manifest; readers of the old version are not disturbed."""
+        """Write the next version, then make its manifest appear."""
         new = self.version() + 1
-        df.write.parquet(f"{self.path}/v{new}")
+        df.write.mode("overwrite").parquet(f"{self.path}/v{new}")
+        self._publish(new)
+        return new
+
+    def _publish(self, new: int) -> None:
         jvm, root, fs = self._fs()
-        staged, final = jvm.org.apache.hadoop.fs.Path(root, f"CURRENT.{new}"), jvm.org.apache.hadoop.fs.Path(root, "CURRENT")
+        staged, final = jvm.org.apache.hadoop.fs.Path(root, f"STAGED.{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(root, f"MANIFEST.{new}")
         out = fs.create(staged, True)
         out.write(bytearray(json.dumps({"version": new}).encode()))
         out.close()
-        fs.delete(final, False)
-        fs.rename(staged, final)
-        return new
+        if fs.exists(final) or not fs.rename(staged, final):
+            fs.delete(staged, False)
+            raise RuntimeError(f"version {new} was written by another process")
 
 
 LOG_SCHEMA = "type string, id string, a string, b string, strength double, content string, category string, importance double, stability double"

@@ -51,6 +51,17 @@ def stream_accesses(source: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_sessions(source: DataFrame, idle: str = "30 days") -> DataFrame:
+    """Exact numbers of distinct sessions per memory as they grow; a session's entry leaves the state when it is older than ``idle``.
+
+    The state holds one entry for each memory and session, spread over all tasks, so a hot memory is no hot key.
+    The rows are first sights of a session: add up ``n_sessions`` per memory (append mode).
+    """
+    root = F.regexp_replace("session_id", "_perspective_.*$", "")
+    seen = source.where("memory_seq IS NOT NULL AND session_id IS NOT NULL").select("memory_seq", root.alias("root"), "ts").withWatermark("ts", idle)
+    return seen.dropDuplicatesWithinWatermark(["memory_seq", "root"]).select("memory_seq", "root", F.lit(1).alias("n_sessions"))
+
+
 def every(n: int, job: Callable[[], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that runs a job after each n-th batch."""
 
