@@ -86,7 +86,8 @@ def truncated(text: Column, limit: int = 500) -> Column:
 
 
 def clamp_unit(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan(x), F.lit(None)).otherwise(x)))
+    """Between 0 and 1; null of null and NaN."""
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def raw_turns(text: Column) -> Column:

@@ -748,7 +748,7 @@ def token_usage(s, d):
 
 
 #: The searches above ask for three vectors at every size; these ask for the whole batch.
-BATCHED = ("cosine", "euclidean", "vector_topk", "search_direct", "search", "search_deep", "search_hybrid", "hybrid_union", "assoc_expand", "co_retrieval", "trace_counts", "retrieve", "rerank_permute", "linked_multi", "search_graph", "search_rerank")
+BATCHED = ("cosine", "euclidean", "vector_topk", "search_direct", "search", "search_deep", "search_hybrid", "hybrid_union", "assoc_expand", "co_retrieval", "trace_counts", "retrieve", "rerank_permute", "linked_multi", "search_graph", "search_bridge", "search_rerank")
 for _name in BATCHED:
     q(f"{_name}_batch", SQL[_name].replace(QV, QV_BATCH))(lambda s, d, f=QUERIES[_name]: f(s, d, query_batch))
 

@@ -12,7 +12,7 @@ from cinderbase import queries_general, queries_memory
 SQL = queries_memory.oracle_sql() | queries_general.oracle_sql()
 QUERIES = queries_memory.queries() | queries_general.queries()
 #: Nothing at the smallest size meets this filter.
-MAY_BE_EMPTY = {"query_memories", "conflict_effects"}
+MAY_BE_EMPTY = {"query_memories", "conflict_effects", "search_bridge", "search_bridge_batch"}
 
 
 @pytest.fixture(scope="module")
