@@ -45,7 +45,7 @@ def components(rows: DataFrame, min_sim: float) -> DataFrame:
 
 
 def _greedy(size: int, min_sim: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> list[tuple]:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         x = np.stack([np.asarray(v, np.float64) for v in pdf["vec"]])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -58,21 +58,32 @@ def _greedy(size: int, min_sim: float) -> Callable[[pd.DataFrame], pd.DataFrame]
             if len(members) == size:
                 used[members] = True
                 out.extend((pdf["grp"][0], int(ids[i]), int(ids[j]), k) for k, j in enumerate(members))
-        return pd.DataFrame(out, columns=["category", "seed", "ingest_seq", "place"])
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [row for _, part in pdf.groupby(["grp", "label"], sort=False) for row in one(part)]
+        return pd.DataFrame(rows, columns=["category", "seed", "ingest_seq", "place"])
 
     return run
 
 
+#: Rows for each bucket of components that are solved in one call.
+BUCKET_ROWS = 20_000
+
+
 def greedy_groups(m: DataFrame, now: int, cfg: Config = DEFAULT) -> DataFrame:
     """Groups of similar fading rows in insertion order: ``category, seed, ingest_seq, place``.
 
-    A seed only ever takes rows similar to it, so connected components are independent and each is
-    solved in a task of its own; categories as a whole never are.
+    A seed only ever takes rows similar to it, so connected components are independent: each is solved by
+    itself, many small ones in one call, and categories as a whole never are. Components smaller than a group are passed over.
     """
     ship(m.sparkSession)
     rows = fading(m, now, cfg).where("vec IS NOT NULL").select(F.col("category").alias("grp"), F.col("ingest_seq").alias("id"), "vec")
     parts = components(rows, cfg.consolidation_similarity_threshold)
-    return parts.groupBy("grp", "label").applyInPandas(_greedy(cfg.consolidation_group_size, cfg.consolidation_similarity_threshold), "category string, seed long, ingest_seq long, place int")
+    large = cut(parts.groupBy("grp", "label").agg(F.count("*").alias("n")).where(F.col("n") >= cfg.consolidation_group_size))
+    buckets = max(8, (large.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS)
+    parts = parts.join(large.drop("n"), ["grp", "label"], "left_semi").withColumn("bucket", F.pmod(F.xxhash64("grp", "label"), F.lit(buckets)))
+    return parts.groupBy("bucket").applyInPandas(_greedy(cfg.consolidation_group_size, cfg.consolidation_similarity_threshold), "category string, seed long, ingest_seq long, place int")
 
 
 def consolidate(m: DataFrame, now: int, cfg: Config = DEFAULT, compress: Callable[[list[str]], str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
