@@ -227,12 +227,14 @@ def _cells(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column), np.uint16).astype(np.int64), np.array([len(b) // 2 for b in column], np.int64)
 
 
-def _ask(index: Index, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each block in which a node probes cells; the first of them passes on what belongs to the node."""
+def _ask(index: Index, batches: Iterator[pd.DataFrame], everywhere: bool = False) -> Iterator[pd.DataFrame]:
+    """A row for each block in which a node probes cells, or ``everywhere``; the first of them passes on what belongs to the node."""
     for pdf in batches:
         if pdf.empty:
             continue
         cells, n = _cells(pdf["cells"])
+        if everywhere:
+            cells, n = np.tile(np.arange(len(index.centroids)), len(pdf)), np.full(len(pdf), len(index.centroids))
         who = np.repeat(np.arange(len(pdf)), n)
         cuts = index.n_blocks[cells]
         inner = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
@@ -401,8 +403,8 @@ def search(rows: DataFrame, k: int, min_sim: float, margin: float | None = None,
     def pair(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         return _search(sent.value, k, min_sim, graph, b, q)
 
-    def run(nodes: DataFrame) -> DataFrame:
-        asked = nodes.select("node", "part", "rep", "weight", "members", "blob", "cells").mapInPandas(lambda b: _ask(sent.value, b), ASKED)
+    def run(nodes: DataFrame, everywhere: bool = False) -> DataFrame:
+        asked = nodes.select("node", "part", "rep", "weight", "members", "blob", "cells").mapInPandas(lambda b: _ask(sent.value, b, everywhere), ASKED)
         found = base.groupBy("block", "qb").cogroup(asked.groupBy("q_block", "q_qb")).applyInPandas(pair, FOUND)
         first = lambda c: F.first(c, ignorenulls=True).alias(c)
         low = F.min(F.when(F.col("least").isNotNull(), F.struct("least_rep", "least")))
@@ -420,58 +422,11 @@ def search(rows: DataFrame, k: int, min_sim: float, margin: float | None = None,
         out = cut(out)
         short = out.where(F.size("top") < k).select("node")
         if not short.isEmpty():
-            cells = np.arange(len(sent.value.centroids), dtype=np.uint16).tobytes()
-            again = run(encoded.join(short, "node", "left_semi").withColumn("cells", F.lit(cells)))
+            again = run(encoded.join(short, "node", "left_semi"), everywhere=True)
             out = out.join(short, "node", "left_anti").unionByName(again)
     return out, encoded
 
 
-def floats(blob: Column) -> Column:
-    """The vector of an encoded node."""
-    return F.pandas_udf(lambda column: column.map(lambda b: np.frombuffer(b, np.float32)), "array<float>")(blob)
-
-
-def distance(min_sim: float) -> float:
-    """The distance of two unit vectors of a cosine."""
-    return float(np.sqrt(max(0.0, 2 - 2 * min_sim)))
-
-
-def search(rows: DataFrame, k: int, min_sim: float, margin: float | None = None, graph: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Of rows ``part, id, vec[, weight]``: what each node finds, and the encoded nodes.
-
-    A node is a set of copies (``members``, its smallest id ``rep``). ``top`` has its k best as (sim, id):
-    ids of rows, its own among them, or with ``graph`` other nodes. Only then ``degree``, ``affinity`` (the sum of
-    cosines), ``mark`` (a hash of the set of neighbours) and ``least`` cover all neighbours from ``min_sim``.
-    Without a ``min_sim`` every node has its k, as far as there are so many rows.
-    """
-    spark = rows.sparkSession
-    ship(spark)
-    margin = distance(min_sim) if margin is None else margin
-    rows = rows.select("part", "id", "vec", (F.col("weight") if "weight" in rows.columns else F.lit(1)).cast("long").alias("weight"))
-    sent = spark.sparkContext.broadcast(train(rows, margin))
-    keep = 1 if graph else k
-    encoded = rows.mapInPandas(lambda b: _encode(sent.value, margin, keep, b), ENCODED)
-    encoded = cut(encoded.withColumn("node", F.monotonically_increasing_id()))
-    every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    base = encoded.select("block", every.alias("qb"), "node", "part", "rep", "weight", "firsts", "cell", "code", "length", "align", "blob")
-    asked = encoded.select("node", "part", "rep", "weight", "members", "blob", "cells").mapInPandas(lambda b: _ask(sent.value, b), ASKED)
-
-    def pair(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return _search(sent.value, k, min_sim, graph, b, q)
-
-    found = base.groupBy("block", "qb").cogroup(asked.groupBy("q_block", "q_qb")).applyInPandas(pair, FOUND)
-    first = lambda c: F.first(c, ignorenulls=True).alias(c)
-    low = F.min(F.when(F.col("least").isNotNull(), F.struct("least_rep", "least")))
-    merged = found.groupBy("node").agg(
-        first("part"), first("rep"), first("weight"), first("members"), F.sum("degree").alias("degree"), F.sum("affinity").alias("affinity"), F.sum("mark").alias("mark"), first("own_mark"), low.alias("low"),
-        F.flatten(F.collect_list(F.arrays_zip("sims", "ids"))).alias("all"),
-    )
-    top = F.slice(F.array_sort(F.transform("all", lambda p: F.struct((-p["sims"]).alias("minus"), p["ids"].alias("id")))), 1, k)
-    top = F.transform(top, lambda p: F.struct((-p["minus"]).alias("sim"), p["id"].alias("id")))
-    out = merged.select("node", "part", "rep", "weight", "members", "degree", "affinity", F.col("low.least").alias("least"), F.col("low.least_rep").alias("least_rep"), "mark", "own_mark", top.alias("top"))
-    return out, encoded
-
-
 def knn(rows: DataFrame, k: int = 5, min_sim: float = -1.0, margin: float | None = NEAR_MARGIN, exact: bool = False) -> DataFrame:
     """For each row of ``id, vec`` its k most similar other rows: ``id, neighbour, sim, rank``.
 
