@@ -249,10 +249,15 @@ def jsonl_roundtrip(s, d):
 
 
 # --- vectors and formulas ------------------------------------------------------------------------
+def _every_pair(mem: DataFrame, ask, name: str, distance: bool = False) -> DataFrame:
+    queries = ask(mem).select(F.col("query").alias("id"), F.col("qvec").alias("vec"))
+    base = mem.where("vec IS NOT NULL").select(F.col("ingest_seq").alias("id"), "vec")
+    return similarity.every_pair(queries, base, name, distance).withColumnRenamed("id", "ingest_seq")
+
+
 @q("cosine", f"{WITH}, {QV} SELECT query, ingest_seq, {COS} AS sim FROM store, qv WHERE vec IS NOT NULL")
 def cosine(s, d, ask=query_vectors):
-    mem = m(s, d)
-    return mem.where("vec IS NOT NULL").crossJoin(F.broadcast(ask(mem))).select("query", "ingest_seq", R6(vector.cosine(F.col("qvec"), F.col("vec"))).alias("sim"))
+    return _every_pair(m(s, d), ask, "sim")
 
 
 @q("euclidean", f"{WITH}, {QV} SELECT query, ingest_seq, round(list_distance(qvec, vec), 6) AS distance FROM store, qv WHERE vec IS NOT NULL")
