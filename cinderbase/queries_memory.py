@@ -262,8 +262,7 @@ def cosine(s, d, ask=query_vectors):
 
 @q("euclidean", f"{WITH}, {QV} SELECT query, ingest_seq, round(list_distance(qvec, vec), 6) AS distance FROM store, qv WHERE vec IS NOT NULL")
 def euclidean(s, d, ask=query_vectors):
-    mem = m(s, d)
-    return mem.where("vec IS NOT NULL").crossJoin(F.broadcast(ask(mem))).select("query", "ingest_seq", R6(vector.euclidean(F.col("qvec"), F.col("vec"))).alias("distance"))
+    return _every_pair(m(s, d), ask, "distance", distance=True)
 
 
 @q("normalize", f"{WITH} SELECT ingest_seq, round(vec[1] / sqrt(list_sum([x * x FOR x IN vec])), 6) AS first, round(vec[64] / sqrt(list_sum([x * x FOR x IN vec])), 6) AS last, 1e0 AS length FROM store WHERE vec IS NOT NULL")
